@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def salted_join(many: DataFrame, few: DataFrame, on: list[str], weight: str, rows_per_task: int = 200_000) -> DataFrame:
-    """Inner join of ``many`` with ``few`` (one row per key, carrying the key's number of rows in ``weight``).
+    """Inner join of ``many`` with ``few``, whose ``weight`` tells for each key how many rows ``many`` has of it.
 
     A key with more than ``rows_per_task`` rows is cut into that many slices: its row of
     ``few`` is repeated once per slice, and the rows of ``many`` are spread over the
@@ -16,7 +16,7 @@ def salted_join(many: DataFrame, few: DataFrame, on: list[str], weight: str, row
     are null match nothing.
     """
     slices = F.greatest(F.lit(1), F.ceil(F.col(weight) / F.lit(rows_per_task)).cast("int"))
-    hot = few.filter(F.col(weight) > rows_per_task).select(*on, slices.alias("__slices"))
+    hot = few.filter(F.col(weight) > rows_per_task).select(*on, slices.alias("__slices")).distinct()
     # at most rows / rows_per_task keys are hot: small enough to send around
     tagged = many.join(F.broadcast(hot), on, "left").withColumn(
         "__slice", F.when(F.col("__slices").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*many.columns), F.col("__slices")).cast("int"))
