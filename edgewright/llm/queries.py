@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from edgewright.llm.cross_split import cross_split_overlaps, overlap_report
 from edgewright.llm.encode import encode_texts, token_counts
 from edgewright.llm.merkle import collapse_triples, copies
 from edgewright.llm.terms import triple_terms
@@ -14,6 +15,14 @@ from edgewright.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return cross_split_overlaps(table(spark, d, "min_fill_dataset"), table(spark, d, "triples_clean"), table(spark, d, "relations"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap_report(table(spark, d, "min_fill_dataset"), table(spark, d, "triples_clean"), table(spark, d, "relations"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copies(table(spark, d, "triples_clean"), table(spark, d, "relations"))
 
@@ -39,6 +48,8 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
     "p4_found": p4_found,
     "p4_records": p4_records,
     "p6_found": p6_found,
@@ -69,7 +80,27 @@ tokens AS (SELECT triple_id, unnest(terms) AS term FROM rows),
 counts AS (SELECT term, count(*) AS n_occurrences, count(DISTINCT triple_id) AS n_records FROM tokens GROUP BY term),
 marks AS (SELECT *, CASE WHEN n_records > (SELECT count(*) FROM triples_clean) / 20.0 THEN 'common' WHEN n_records < 3 THEN 'rare' END AS mark FROM counts)"""
 
+_PAIRS = """sound AS (SELECT graph_id, split, source, batch_no, list_filter(edges, lambda p: len(p) = 2 AND p[1] IS NOT NULL AND p[2] IS NOT NULL) AS e FROM min_fill_dataset),
+lows AS (SELECT *, list_min(flatten(e)) AS low FROM sound),
+sets AS (SELECT graph_id, split, source, batch_no, list_distinct(list_transform(list_filter(e, lambda p: p[1] <> p[2]),
+  lambda p: CAST(least(p[1], p[2]) - low AS BIGINT) * 4294967296 + (greatest(p[1], p[2]) - low))) AS pairs FROM lows),
+graphs AS (SELECT * FROM sets WHERE len(pairs) > 0),
+items AS (SELECT graph_id, split, batch_no, len(pairs) AS n, unnest(pairs) AS p FROM graphs)"""
+
+_P1 = f"""{_PAIRS},
+graph_pairs AS (SELECT a.graph_id AS x, b.graph_id AS y FROM items a JOIN items b ON a.p = b.p AND a.split = 'train' AND b.split IN ('val', 'test')
+  GROUP BY a.graph_id, b.graph_id, a.n, b.n HAVING count(*) * 5 >= greatest(a.n, b.n) * 4),
+{_READ},
+classes AS (SELECT rel, head, tail, list(triple_id) FILTER (split = 'train') AS trains, list(triple_id) FILTER (split IN ('valid', 'test')) AS helds FROM reads GROUP BY ALL),
+met AS (SELECT a.trains, b.helds FROM classes a JOIN classes b ON a.rel = b.rel AND abs(length(a.head) - length(b.head)) + abs(length(a.tail) - length(b.tail)) <= 2
+  AND a.trains IS NOT NULL AND b.helds IS NOT NULL AND (a.head = b.head OR a.tail = b.tail OR (levenshtein(a.head, b.head) <= 1 AND levenshtein(a.tail, b.tail) <= 1))
+  AND levenshtein(a.head, b.head) + levenshtein(a.tail, b.tail) <= 2),
+spread AS (SELECT unnest(trains) AS x, helds FROM met),
+triple_pairs AS (SELECT x, unnest(helds) AS y FROM spread),
+found_pairs AS (SELECT 'graph' AS kind, least(x, y) AS id_a, greatest(x, y) AS id_b FROM graph_pairs UNION ALL SELECT 'triple', least(x, y), greatest(x, y) FROM triple_pairs)"""
+
 SQL: dict[str, str] = {
+    "p1_found": f"WITH {_P1} SELECT kind, id_a, id_b FROM found_pairs",
     "p4_found": f"""WITH {_READ}, firsts AS (SELECT *, min(triple_id) OVER (PARTITION BY rel, head, tail) AS first_id FROM reads)
 SELECT first_id, triple_id AS copy_id FROM firsts WHERE triple_id <> first_id""",
     "p4_records": f"""WITH {_READ} SELECT min(triple_id) AS first_id, rel, head, tail, count(*) AS n_copies FROM reads GROUP BY rel, head, tail""",
