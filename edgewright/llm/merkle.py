@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.llm.triples import read_triples
+from edgewright.plans.scratch import stash
 from edgewright.plans.skew import salted_join
 
 
@@ -22,7 +23,7 @@ def digest(*children: Column) -> Column:
 
 def unordered(*children: Column) -> Column:
     """Digest of a node whose children have no order."""
-    return F.xxhash64(F.array_sort(F.array(*children)))
+    return F.xxhash64(F.sort_array(F.array(*children)))
 
 
 def triple_root(rel: str = "rel", head: str = "head", tail: str = "tail") -> Column:
@@ -41,12 +42,16 @@ def collapse_triples(triples: DataFrame, relations: DataFrame) -> DataFrame:
     first unless there is no other; an empty table gives no rows. Copies are combined
     before the shuffle, so a record with a third of all rows costs no more than another.
     """
-    read = read_triples(triples, relations, "triple_id").withColumn("root", triple_root())
-    return (
-        read.groupBy("root", "rel", "head", "tail")
-        .agg(F.min("triple_id").alias("first_id"), F.count("*").alias("n_copies"))
-        .select("first_id", "rel", "head", "tail", "n_copies", "root")
-    )
+    return _groups(_rooted(triples, relations)).drop("root")
+
+
+def _rooted(triples: DataFrame, relations: DataFrame) -> DataFrame:
+    return read_triples(triples, relations, "triple_id").withColumn("root", triple_root())
+
+
+def _groups(rooted: DataFrame) -> DataFrame:
+    grouped = rooted.groupBy("root", "rel", "head", "tail").agg(F.min("triple_id").alias("first_id"), F.count("*").alias("n_copies"))
+    return grouped.select("first_id", "rel", "head", "tail", "n_copies", "root")
 
 
 def copies(triples: DataFrame, relations: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
@@ -55,7 +60,7 @@ def copies(triples: DataFrame, relations: DataFrame, rows_per_task: int = 200_00
     The rows meet the records of more than one copy again by root digest and are
     confirmed against the full structure; records of very many copies are sliced.
     """
-    groups = collapse_triples(triples, relations).filter("n_copies > 1").select("root", "rel", "head", "tail", "first_id", "n_copies")
-    rows = read_triples(triples, relations, "triple_id").withColumn("root", triple_root())
+    rows = stash(_rooted(triples, relations), "rooted")
+    groups = stash(_groups(rows).filter("n_copies > 1"), "groups")
     met = salted_join(rows, groups, ["root", "rel", "head", "tail"], "n_copies", rows_per_task)
     return met.filter("triple_id <> first_id").select("first_id", F.col("triple_id").alias("copy_id"))

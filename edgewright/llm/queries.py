@@ -28,7 +28,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_records(spark: SparkSession, d: str) -> DataFrame:
-    return collapse_triples(table(spark, d, "triples_clean"), table(spark, d, "relations")).drop("root")
+    return collapse_triples(table(spark, d, "triples_clean"), table(spark, d, "relations"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
