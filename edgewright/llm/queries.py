@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgewright.llm.cross_split import cross_split_overlaps, overlap_report
+from edgewright.llm.cross_split import cross_split_overlaps, graph_overlaps, overlap_report
 from edgewright.llm.encode import encode_texts, token_counts
+from edgewright.llm.history import batch_duplicates
 from edgewright.llm.merkle import collapse_triples, copies
 from edgewright.llm.terms import triple_terms
 from edgewright.sources.tables import table
@@ -23,6 +24,10 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(table(spark, d, "min_fill_dataset"), table(spark, d, "triples_clean"), table(spark, d, "relations"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return batch_duplicates(table(spark, d, "min_fill_dataset"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copies(table(spark, d, "triples_clean"), table(spark, d, "relations"))
 
@@ -50,6 +55,7 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_records": p4_records,
     "p6_found": p6_found,
