@@ -10,6 +10,7 @@ from edgewright.llm.cross_split import cross_split_overlaps, graph_overlaps, ove
 from edgewright.llm.encode import encode_texts, token_counts
 from edgewright.llm.history import batch_duplicates
 from edgewright.llm.merkle import collapse_triples, copies
+from edgewright.llm.packing import fill_report, pack_documents
 from edgewright.llm.terms import triple_terms
 from edgewright.sources.tables import table
 
@@ -52,6 +53,14 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts(table(spark, d, "documents"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p8_containers(spark, d))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -62,6 +71,8 @@ QUERIES: dict[str, Query] = {
     "p6_terms": p6_terms,
     "p7_ids": p7_ids,
     "p7_counts": p7_counts,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
 }
 
 
