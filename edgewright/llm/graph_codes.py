@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,34 +42,61 @@ class CodeParams:
     seed: int = 20
 
 
-def pair_set(edges: Column) -> Column:
-    """Sorted array of the undirected node pairs of ``edges``, numbered from the smallest node; null if there is none.
+def pair_sets(graphs: DataFrame, *keep: str) -> DataFrame:
+    """``graph_id``, ``pairs`` (sorted array of the distinct undirected node pairs) and ``keep``.
 
-    Order, direction, repeats and self-loops don't count; null entries and entries that
-    aren't pairs are left out.
+    Nodes are numbered from the smallest number in ``edges``; order, direction, repeats and
+    self-loops don't count; null entries and entries that aren't pairs are left out. Rows
+    without id or without any pair are left out.
     """
-    sound = F.filter(edges, lambda p: F.coalesce(F.size(p) == 2, F.lit(False)) & p[0].isNotNull() & p[1].isNotNull())
-    low = F.array_min(F.flatten(sound)).cast("bigint")
-    codes = F.transform(F.filter(sound, lambda p: p[0] != p[1]), lambda p: F.shiftleft(F.least(p[0], p[1]) - low, _SHIFT) + (F.greatest(p[0], p[1]) - low))
-    found = F.array_sort(F.array_distinct(codes))
-    return F.when(F.size(found) > 0, found)
+    kept = "".join(f", {k} {graphs.schema[k].dataType.simpleString()}" for k in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = _pair_lists(batch.column("edges"))
+            out = pa.RecordBatch.from_arrays([batch.column("graph_id"), pairs, *[batch.column(k) for k in keep]], names=["graph_id", "pairs", *keep])
+            yield out.filter(pc.greater(pc.list_value_length(pairs), 0))
+
+    held = graphs.filter("graph_id is not null and size(edges) > 0").select(F.col("graph_id").cast("bigint").alias("graph_id"), "edges", *keep)
+    return held.mapInArrow(run, f"graph_id bigint, pairs array<bigint>{kept}")
+
+
+def _pair_lists(edges: pa.ListArray) -> pa.ListArray:
+    """The pair sets of a block of graphs, worked out on flat columns."""
+    entries, row = edges.flatten(), pc.list_parent_indices(edges)
+    sound = pc.fill_null(pc.equal(pc.list_value_length(entries), 2), False)
+    entries, row = entries.filter(sound), row.filter(sound).to_numpy(zero_copy_only=False)
+    ends = entries.flatten()
+    known = np.asarray(ends.is_valid()).reshape(-1, 2).all(axis=1)
+    pair = ends.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2)[known]
+    row = row[known]
+    low = np.full(len(edges), np.iinfo(np.int64).max)
+    np.minimum.at(low, row, pair.min(axis=1)) if len(row) else None
+    real = pair[:, 0] != pair[:, 1]
+    pair, row = pair[real] - low[row[real], None], row[real]
+    code = (pair.min(axis=1) << _SHIFT) + pair.max(axis=1)
+    order = np.lexsort((code, row))
+    code, row = code[order], row[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
+    counts = np.bincount(row[new], minlength=len(edges))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(code[new]))
 
 
 def graph_classes(graphs: DataFrame, *keep: str, flags: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(classes, members) of the distinct pair sets.
 
     ``classes``: ``class_id`` (smallest graph_id), ``pairs`` and each of ``flags`` (true if of
-    any member). ``members``: ``class_id``, ``graph_id`` and ``keep`` of every row. Rows without
-    id, or with null or empty edges, or without any real pair, are in neither. Copies
-    collapse before anything is compared.
+    any member). ``members``: ``class_id``, ``graph_id`` and ``keep`` of every row that has an id
+    and a pair. Copies collapse before anything is compared.
     """
     flags = flags or {}
-    placed = graphs.select("graph_id", pair_set(F.col("edges")).alias("pairs"), *keep, *[f.alias(n) for n, f in flags.items()]).filter("pairs is not null and graph_id is not null")
     # two independent 64-bit hashes stand for the set where rows meet their class again
     marks = [F.xxhash64("pairs").alias("m1"), F.xxhash64(F.lit(1), F.col("pairs")).alias("m2")]
-    grouped = placed.groupBy("pairs").agg(F.min("graph_id").alias("class_id"), F.count("*").alias("n_members"), *[F.bool_or(n).alias(n) for n in flags])
+    placed = stash(pair_sets(graphs.select("graph_id", "edges", *keep, *[f.alias(n) for n, f in flags.items()]), *keep, *flags).select("*", *marks), "placed")
+    grouped = placed.groupBy("m1", "m2", "pairs").agg(F.min("graph_id").alias("class_id"), *[F.bool_or(n).alias(n) for n in flags])
     classes = stash(grouped, "classes")
-    members = placed.select(*marks, "graph_id", *keep).join(classes.select(*marks, "class_id"), ["m1", "m2"]).select("class_id", "graph_id", *keep)
+    members = placed.select("m1", "m2", "graph_id", *keep).join(classes.select("m1", "m2", "class_id"), ["m1", "m2"]).select("class_id", "graph_id", *keep)
     return classes, members
 
 

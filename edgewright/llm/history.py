@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.llm.graph_codes import CodeParams, alike, code_rows, pair_set, within_radius
+from edgewright.llm.graph_codes import CodeParams, alike, code_rows, graph_classes, within_radius
 from edgewright.plans.scratch import scratch_path, stash
 from edgewright.plans.skew import salted_join
 
@@ -63,8 +63,7 @@ class AcceptedGraphs:
 
     def accept_all(self, graphs: DataFrame) -> None:
         """Take in a first batch without comparing it."""
-        placed, classes = _distinct(graphs)
-        members = placed.select("h1", "h2", "graph_id").join(classes.select("h1", "h2", "class_id"), ["h1", "h2"])
+        classes, members = graph_classes(graphs)
         self._add(code_rows(classes, self.params), classes, members)
 
     def check(self, graphs: DataFrame) -> DataFrame:
@@ -74,14 +73,14 @@ class AcceptedGraphs:
         accepted nor rejected. An empty batch changes nothing.
         """
         params = self.params
-        placed, classes = _distinct(graphs)
+        classes, members = graph_classes(graphs)
         codes = stash(code_rows(classes, params), "codes")
         old = stash(self._like_accepted(codes, classes), "old")
         inside = stash(self._like_each_other(codes, classes), "inside")
         # one member of a class is decided on: its first; all others are like it or like what rejected it
         first_ok = stash(self._greedy(classes, old, inside), "first_ok")
         kept = classes.join(first_ok, "class_id", "left_semi")
-        members = stash(placed.select("h1", "h2", "graph_id").join(classes.select("h1", "h2", "class_id"), ["h1", "h2"]).select("class_id", "graph_id"), "members")
+        members = stash(members, "members")
         # accepted graphs of this batch are the firsts of kept classes: class_id is the graph's own id
         own = first_ok.select("class_id", F.col("class_id").alias("other"))
         among = inside.join(first_ok.select(F.col("class_id").alias("other")), "other", "left_semi").select("class_id", "other")
@@ -148,12 +147,6 @@ class AcceptedGraphs:
         return reduce(DataFrame.unionByName, parts)
 
 
-def _distinct(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    placed = graphs.select("graph_id", pair_set(F.col("edges")).alias("pairs")).filter("pairs is not null and graph_id is not null")
-    placed = stash(placed.select("graph_id", "pairs", F.xxhash64("pairs").alias("h1"), F.xxhash64(F.lit(1), F.col("pairs")).alias("h2")), "placed")
-    return placed, stash(placed.groupBy("h1", "h2", "pairs").agg(F.min("graph_id").alias("class_id")), "classes")
-
-
 def _verify(found: DataFrame, classes: DataFrame, others: DataFrame, least: float) -> DataFrame:
     a = classes.select("class_id", F.col("pairs").alias("pairs_a"))
     b = others.select(F.col("class_id").alias("other"), F.col("pairs").alias("pairs_b"))
