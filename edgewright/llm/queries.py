@@ -11,6 +11,7 @@ from edgewright.llm.encode import encode_texts, token_counts
 from edgewright.llm.history import batch_duplicates
 from edgewright.llm.merkle import collapse_triples, copies
 from edgewright.llm.packing import fill_report, pack_documents
+from edgewright.llm.subjects import document_subjects, subject_composition
 from edgewright.llm.terms import triple_terms
 from edgewright.sources.tables import table
 
@@ -61,6 +62,14 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p8_containers(spark, d))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return document_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects")).select("doc_id", "subject")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return subject_composition(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -73,6 +82,8 @@ QUERIES: dict[str, Query] = {
     "p7_counts": p7_counts,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
 }
 
 
