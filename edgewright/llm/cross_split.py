@@ -35,7 +35,8 @@ def graph_overlaps(graphs: DataFrame, params: CodeParams | None = None) -> DataF
     candidates = met.select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")).distinct()
     near = verified(candidates, classes, classes, params.least)
     same = classes.filter("any_train and any_held").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"))
-    return _expand(near.unionByName(same), members.withColumnRenamed("graph_id", "id"))
+    links = near.unionByName(same).toDF("a_class_id", "b_class_id")
+    return _expand(links, members.withColumnRenamed("graph_id", "id"), ["class_id"])
 
 
 def triple_overlaps(triples: DataFrame, relations: DataFrame, max_edits: int = 2) -> DataFrame:
@@ -48,20 +49,20 @@ def triple_overlaps(triples: DataFrame, relations: DataFrame, max_edits: int = 2
     """
     train = F.col("split") == "train"
     rows = triples.filter(train | F.col("split").isin("valid", "test")).filter("triple_id is not null").withColumn("in_train", train)
-    read = read_triples(rows, relations, "triple_id", "in_train")
-    fields = ["rel", "head", "tail"]
-    grouped = read.groupBy(*fields).agg(F.min("triple_id").alias("class_id"), F.bool_or("in_train").alias("any_train"), F.bool_or(~F.col("in_train")).alias("any_held"))
+    fields, mark = ["rel", "head", "tail"], ["m1", "m2"]
+    # two independent 64-bit hashes stand for the record where rows meet it again
+    marks = [F.xxhash64(*fields).alias("m1"), F.xxhash64(F.lit(1), *fields).alias("m2")]
+    read = stash(read_triples(rows, relations, "triple_id", "in_train").select("*", *marks), "read")
+    grouped = read.groupBy(*fields, *mark).agg(F.bool_or("in_train").alias("any_train"), F.bool_or(~F.col("in_train")).alias("any_held"))
     classes = stash(grouped, "triples")
     words = classes.select(F.explode(F.array_distinct(F.array("head", "tail"))).alias("word"), "any_train", "any_held")
     words = words.groupBy("word").agg(F.bool_or("any_train").alias("any_train"), F.bool_or("any_held").alias("any_held"))
     near = stash(near_words(words, "any_held", "any_train", max_edits), "near")
-    held = classes.filter("any_held").select("rel", "head", "tail", F.col("class_id").alias("class_b"), F.lit(0).alias("edits"))
+    held = classes.filter("any_held").select(*fields, F.col("m1").alias("b_m1"), F.col("m2").alias("b_m2"), F.lit(0).alias("edits"))
     probes = _rewritten(_rewritten(held, near, "head", max_edits), near, "tail", max_edits)
-    trained = classes.filter("any_train").select(*fields, F.col("class_id").alias("class_a"))
-    links = trained.join(probes, fields).select("class_a", "class_b")
-    marks = [F.xxhash64(*fields).alias("m1"), F.xxhash64(F.lit(1), *fields).alias("m2")]
-    members = read.select(*marks, F.col("triple_id").alias("id"), "in_train").join(classes.select(*marks, "class_id"), ["m1", "m2"]).select("class_id", "id", "in_train")
-    return _expand(links, members)
+    trained = classes.filter("any_train").select(*fields, F.col("m1").alias("a_m1"), F.col("m2").alias("a_m2"))
+    links = trained.join(probes, fields).select("a_m1", "a_m2", "b_m1", "b_m2")
+    return _expand(links, read.select(*mark, F.col("triple_id").alias("id"), "in_train"), mark)
 
 
 def _rewritten(probes: DataFrame, near: DataFrame, field: str, max_edits: int) -> DataFrame:
@@ -71,19 +72,24 @@ def _rewritten(probes: DataFrame, near: DataFrame, field: str, max_edits: int) -
     return probes.unionByName(changed.withColumn(field, F.col("other")).withColumn("edits", F.col("edits") + F.col("more")).drop("other", "more"))
 
 
-def _expand(links: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of ids for links of classes: the train members of ``class_a`` with the held-out ones of ``class_b``.
+def _expand(links: DataFrame, members: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs of ids for links of classes: the train members of class a with the held-out ones of class b.
 
-    ``members`` has class_id, id, in_train. A class of very many copies is sliced on
-    either side, so the pairs of one link spread over many tasks.
+    ``members`` has ``key``, id, in_train; ``links`` the key of either class, prefixed ``a_``
+    and ``b_``. A class of very many copies is sliced on either side, so the pairs of one
+    link spread over many tasks.
     """
-    links, members = stash(links, "links"), stash(members, "members")
-    counts = members.groupBy("class_id").agg(F.count_if("in_train").alias("n_train"), F.count_if(~F.col("in_train")).alias("n_held"))
-    held = members.filter("not in_train").select(F.col("class_id").alias("class_b"), F.col("id").alias("held_id"))
-    train = members.filter("in_train").select(F.col("class_id").alias("class_a"), F.col("id").alias("train_id"))
-    counted = links.join(counts.select(F.col("class_id").alias("class_a"), "n_train"), "class_a").join(counts.select(F.col("class_id").alias("class_b"), "n_held"), "class_b")
-    wanted = salted_join(held, counted, ["class_b"], "n_held").select("class_a", "n_train", "held_id")
-    pairs = salted_join(train, wanted, ["class_a"], "n_train")
+    side = {x: [f"{x}_{k}" for k in key] for x in "ab"}
+    links = stash(links, "links")
+    ends = [links.select(*[F.col(c).alias(k) for c, k in zip(side[x], key)]) for x in "ab"]
+    members = stash(members.join(ends[0].unionByName(ends[1]).distinct(), key, "left_semi"), "members")
+    counts = members.groupBy(*key).agg(F.count_if("in_train").alias("n_train"), F.count_if(~F.col("in_train")).alias("n_held"))
+    as_side = lambda df, x: df.withColumnsRenamed(dict(zip(key, side[x])))
+    train = as_side(members.filter("in_train").withColumnRenamed("id", "train_id").drop("in_train"), "a")
+    held = as_side(members.filter("not in_train").withColumnRenamed("id", "held_id").drop("in_train"), "b")
+    counted = links.join(as_side(counts.drop("n_held"), "a"), side["a"]).join(as_side(counts.drop("n_train"), "b"), side["b"])
+    wanted = salted_join(held, stash(counted, "counted"), side["b"], "n_held").select(*side["a"], "n_train", "held_id")
+    pairs = salted_join(train, wanted, side["a"], "n_train")
     return pairs.select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b"))
 
 
