@@ -1,0 +1 @@
+"""Batch engine: nothing here reads streams (see README)."""
