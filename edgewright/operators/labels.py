@@ -11,38 +11,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.functions.order import hash_order
-from edgewright.operators.node_features import per_graph
+from edgewright.operators.node_features import largest_graph, per_edge_list, per_graph
 from edgewright.plans.scratch import stash
 from edgewright.sources.graphs import Graphs, doubled
 
 NODE = ["graph_id", "node"]
+#: Graphs of up to this many edges are handed to a task whole; larger ones are worked on in rounds of joins.
+WHOLE_GRAPH = 200_000
 
 
-def components(g: Graphs) -> DataFrame:
+def components(g: Graphs, whole_graph: int = WHOLE_GRAPH) -> DataFrame:
     """``component``: smallest node of the (weak) component of each node.
 
-    Labels go to neighbours and then jump to their own label's label, so the number of
-    rounds grows with the logarithm of the longest chain; every round is written out.
+    If every graph is small, one grouped pass. Otherwise labels go to neighbours and then
+    jump to their own label's label, so the number of rounds grows with the logarithm of the
+    longest chain; every round is written out.
     """
+    if largest_graph(g) <= whole_graph:
+        return per_edge_list(g, _components_of, "graph_id bigint, node bigint, component bigint")
     both = stash(doubled(g.edges.select("graph_id", "src", "dst").filter("src <> dst")).distinct(), "both")
     labels = stash(g.nodes.select(*NODE, F.col("node").alias("component")), "labels")
     while True:
         near = both.join(labels.select("graph_id", F.col("node").alias("src"), F.col("component").alias("c")), ["graph_id", "src"])
         least = near.groupBy("graph_id", F.col("dst").alias("node")).agg(F.min("c").alias("c"))
-        lower = labels.join(least, NODE, "left").select(*NODE, "component", F.least("component", F.coalesce("c", "component")).alias("low"))
-        lower = stash(lower, "lower")
+        lower = stash(labels.join(least, NODE, "left").select(*NODE, "component", F.least("component", F.coalesce("c", "component")).alias("low")), "lower")
         roots = lower.select("graph_id", F.col("node").alias("low"), F.col("low").alias("root"))
-        jumped = lower.join(roots, ["graph_id", "low"], "left").select(*NODE, "component", F.least("low", F.coalesce("root", "low")).alias("next"))
-        jumped = stash(jumped, "jumped")
-        done = jumped.filter("next <> component").isEmpty()
+        jumped = stash(lower.join(roots, ["graph_id", "low"], "left").select(*NODE, "component", F.least("low", F.coalesce("root", "low")).alias("next")), "jumped")
         labels = jumped.select(*NODE, F.col("next").alias("component"))
-        if done:
+        if jumped.filter("next <> component").isEmpty():
             return labels
 
 
-def largest_component(g: Graphs) -> DataFrame:
+def _components_of(ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
+    sets = _Union(len(ids))
+    for i, j in zip(src.tolist(), dst.tolist()):
+        sets.join(i, j)
+    return pd.DataFrame({"node": ids, "component": ids[[sets.root(i) for i in range(len(ids))]]})
+
+
+def largest_component(g: Graphs, whole_graph: int = WHOLE_GRAPH) -> DataFrame:
     """Nodes of each graph's largest component, of equal ones that with the smallest node."""
-    named = components(g)
+    return _largest(stash(components(g, whole_graph), "named"))
+
+
+def _largest(named: DataFrame) -> DataFrame:
     sizes = named.groupBy("graph_id", "component").agg(F.count("*").alias("n"))
     best = sizes.groupBy("graph_id").agg(F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("component"))
     return named.join(best, ["graph_id", "component"], "left_semi").select(*NODE)
@@ -51,7 +63,7 @@ def largest_component(g: Graphs) -> DataFrame:
 def stitch(g: Graphs, seed: int = 0) -> DataFrame:
     """Undirected edges plus bridges from every other component to the largest one: max(1, min(3, floor(size / 5) + 1)) each."""
     named = stash(components(g), "named")
-    main = largest_component(g)
+    main = stash(_largest(named), "main")
     island = named.join(main, NODE, "left_anti")
     body = main.withColumn("k", F.row_number().over(Window.partitionBy("graph_id").orderBy(hash_order(seed, "graph_id", "node"), "node")) - 1)
     sizes = body.groupBy("graph_id").agg(F.count("*").alias("m"))
@@ -125,13 +137,16 @@ def feedback_edges(g: Graphs) -> DataFrame:
     return per_graph(g, work, "graph_id bigint, src bigint, dst bigint")
 
 
-def bfs_tree(g: Graphs) -> DataFrame:
+def bfs_tree(g: Graphs, whole_graph: int = WHOLE_GRAPH) -> DataFrame:
     """``node``, ``parent``, ``depth`` of the breadth-first tree of the largest component from its smallest node.
 
     A node's parent is the one discovered first; nodes of a level are discovered in the order
-    of their parents' discovery and then of their ids, which ``rank`` keeps.
+    of their parents' discovery and then of their ids. If every graph is small, one grouped
+    pass; otherwise a round of joins per level, in which ``rank`` keeps that order.
     """
-    main = stash(largest_component(g), "main")
+    if largest_graph(g) <= whole_graph:
+        return per_edge_list(g, _tree_of, "graph_id bigint, node bigint, parent bigint, depth int")
+    main = stash(largest_component(g, whole_graph), "main")
     both = doubled(g.edges.select("graph_id", "src", "dst").filter("src <> dst")).distinct()
     both = stash(both.join(main.select("graph_id", F.col("node").alias("src")), ["graph_id", "src"], "left_semi"), "both")
     front = main.groupBy("graph_id").agg(F.min("node").alias("node")).select(*NODE, F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("depth"), F.lit(1).alias("rank"))
@@ -148,6 +163,25 @@ def bfs_tree(g: Graphs) -> DataFrame:
         found = found.unionByName(front)
 
 
+def _tree_of(ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
+    near: list[set[int]] = [set() for _ in ids]
+    for i, j in zip(src.tolist(), dst.tolist()):
+        near[i].add(j)
+        near[j].add(i)
+    labels = _components_of(ids, src, dst)["component"].to_numpy()
+    names, sizes = np.unique(labels, return_counts=True)
+    root = int(np.searchsorted(ids, names[sizes.argmax()]))
+    parent, depth, queue = {root: -1}, {root: 0}, [root]
+    for v in queue:
+        for w in sorted(near[v]):
+            if w not in depth:
+                parent[w], depth[w] = v, depth[v] + 1
+                queue.append(w)
+    nodes = np.array(queue)
+    up = pd.array([None if parent[v] < 0 else int(ids[parent[v]]) for v in queue], dtype="Int64")
+    return pd.DataFrame({"node": ids[nodes], "parent": up, "depth": np.array([depth[v] for v in queue], np.int32)})
+
+
 def bounded_neighbourhood(g: Graphs, seeds: DataFrame, budget: int) -> DataFrame:
     """``seed``, ``node``, ``hop``: breadth-first from each seed, level by level and by node id, at most ``budget`` nodes.
 

@@ -166,7 +166,7 @@ def negative_pairs(g: Graphs, per_edge: float, seed: int = 0) -> DataFrame:
     pairs is made; what is an edge or a repeat falls away and the first in hash order stay.
     Sparse graphs are assumed: with too few non-edges fewer come out.
     """
-    draws = int(per_edge * 2) + 3
+    draws = int(per_edge * 1.5) + 2
     own = Window.partitionBy("graph_id")
     codes = g.nodes.withColumn("__k", F.row_number().over(own.orderBy("node")) - 1).withColumn("__n", F.count("*").over(own))
     sized = g.edges.join(codes.groupBy("graph_id").agg(F.first("__n").alias("__n")), "graph_id")

@@ -145,6 +145,26 @@ def per_graph(g: Graphs, work: Callable[[np.ndarray, np.ndarray], pd.DataFrame],
     return nodes.unionByName(edges).groupBy("graph_id").applyInPandas(run, schema)
 
 
+def per_edge_list(g: Graphs, work: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """``work(node ids, sources, targets)`` of each graph, ends as positions in the sorted ids; no matrix is made."""
+    nodes = g.nodes.select("graph_id", "node", F.lit(None).cast("bigint").alias("dst"))
+    edges = g.edges.filter("src <> dst").select("graph_id", F.col("src").alias("node"), "dst")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(pdf["node"].to_numpy(np.int64))
+        ends = pdf[pdf["dst"].notna()]
+        out = work(ids, np.searchsorted(ids, ends["node"].to_numpy(np.int64)), np.searchsorted(ids, ends["dst"].to_numpy(np.int64)))
+        out.insert(0, "graph_id", key[0])
+        return out
+
+    return nodes.unionByName(edges).groupBy("graph_id").applyInPandas(run, schema)
+
+
+def largest_graph(g: Graphs) -> int:
+    """Edges of the largest graph: tells whether whole graphs may be handed to tasks."""
+    return g.edges.groupBy("graph_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def laplacian_pe(g: Graphs, k: int) -> DataFrame:
     """``pe``: the k eigenvectors of I - D^-1/2 A D^-1/2 after the first, padded with 0; the largest entry of each is positive."""
 
