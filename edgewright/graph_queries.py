@@ -205,6 +205,10 @@ LEFT JOIN w2 ON w2.graph_id = a.graph_id AND w2.i = a.node AND w2.j = b.node
 LEFT JOIN od o ON a.graph_id = o.graph_id AND a.node = o.node LEFT JOIN od q ON b.graph_id = q.graph_id AND b.node = q.node""",
 )(lambda g: pf.stack(mk.effective_mask(mk.mask_policy(g, "all"), g), g, ["cn", "degree", "power_2"], pf.Redaction("none")))
 
+_on("D", "powers_on_demand", f"{_POW} SELECT e.graph_id, src AS i, dst AS j, coalesce(w2.w, 0) AS power_2, coalesce(w3.w, 0) AS power_3, coalesce(w4.w, 0) AS power_4, coalesce(w5.w, 0) AS power_5 FROM e " + " ".join(f"LEFT JOIN w{k} ON w{k}.graph_id = e.graph_id AND w{k}.i = src AND w{k}.j = dst" for k in (2, 3, 4, 5)))(
+    lambda g: pf.powers_of(edge_pairs(g), g, [2, 3, 4, 5])
+)
+
 # transforms ---------------------------------------------------------------------------------------
 _on("U", "sanitise", " SELECT graph_id, src, dst FROM e")(lambda g: tf.sanitise(g.edges, False))
 _on("D", "dag_orient", " SELECT graph_id, src, dst FROM e WHERE src < dst")(lambda g: tf.orient_dag(g.edges))
@@ -499,3 +503,51 @@ _query("edge_embedding")(
 _query("retweet_out_degree", "WITH k AS (SELECT DISTINCT u, v FROM higgs_retweet_network WHERE u <> v) SELECT u AS node, count(*) AS degree FROM k GROUP BY u")(
     lambda s, d: nf.degree(sg.retweet_graph(s, d)).filter("degree > 0").select("node", "degree")
 )
+
+
+@_query("context_features")
+def context_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "triples_clean").filter("h is not null and r is not null and t is not null")
+    return tr.context_features(rows.select("triple_id", "h", "r", "t", F.array(F.length("h").cast("double"), F.length("t").cast("double")).alias("vec")))
+
+
+_query("triple_tile_nodes")(lambda s, d: tr.triple_tiles(table(s, d, "triples_clean"), 4)[0])
+_query("triple_tile_edges")(lambda s, d: tr.triple_tiles(table(s, d, "triples_clean"), 4)[1])
+_query("candidate_projection", "SELECT triple_id, list_value(length(h), length(r), length(t)) AS phi FROM triples_clean WHERE h IS NOT NULL AND r IS NOT NULL AND t IS NOT NULL")(
+    lambda s, d: table(s, d, "triples_clean").filter("h is not null and r is not null and t is not null").select("triple_id", F.concat(F.array(F.length("h")), F.array(F.length("r")), F.array(F.length("t"))).cast("array<bigint>").alias("phi"))
+)
+_query("softmax", "WITH k AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(CAST(x AS DOUBLE))) AS e FROM embeddings) SELECT vec_id, round(e[1] / list_sum(e), 6) AS p0, round(e[4] / list_sum(e), 6) AS p3 FROM k")(
+    lambda s, d: table(s, d, "embeddings").select("vec_id", no.softmax(F.slice("embedding", 1, 4).cast("array<double>")).alias("p")).select("vec_id", F.col("p")[0].alias("p0"), F.col("p")[3].alias("p3"))
+)
+_query("expand_classes", "SELECT event_id, cls, CASE WHEN cls = event_id % 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS prob FROM events, (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS cls)")(
+    lambda s, d: mt.expand_classes(table(s, d, "events").select("event_id", (F.col("event_id") % 3).cast("int").alias("cls"), F.lit(1.0).alias("prob")), [0, 1, 2, 3], ["event_id"])
+)
+_query("graph_json", "SELECT graph_id, num_nodes, CAST(len(edges) AS INTEGER) AS n_edges FROM min_fill_dataset")(
+    lambda s, d: table(s, d, "min_fill_dataset").select(F.to_json(F.struct("graph_id", "num_nodes", "edges")).alias("j")).select(F.from_json("j", sg.GRAPH_RECORD).alias("g")).select("g.graph_id", "g.num_nodes", F.when(F.col("g.edges").isNotNull(), F.size("g.edges")).alias("n_edges"))
+)
+_query("work_shards", "SELECT graph_id, CAST(ntile(7) OVER (ORDER BY graph_id) AS INTEGER) AS shard FROM min_fill_dataset")(lambda s, d: mk.shards(table(s, d, "min_fill_dataset").select("graph_id"), "graph_id", 7))
+_on("D", "custom_label", " SELECT graph_id, src AS i, dst AS j, 1 AS y FROM e WHERE src < dst")(lambda g: lb.custom_label(lambda o: edge_pairs(o).filter("i < j").withColumn("y", F.lit(1)), g))
+_on("D", "overlap_mean", " SELECT graph_id, src AS i, dst AS j, round(1.5, 6)::DOUBLE AS value FROM e")(
+    lambda g: pg.overlap_mean(edge_pairs(g).withColumn("value", F.explode(F.array(F.lit(1.0), F.lit(2.0)))))
+)
+_on("U", "modularity")(lambda g: lb.modularity(g, g.nodes.withColumn("community", F.col("node") % 3)))
+_on("U", "greedy_predictions")(lambda g: lb.apply_predictions(g, mk.candidate_non_edges(g, 10).withColumn("prob", F.lit(0.5)), 3))
+
+
+def _task(name: str, directed: bool) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        from edgewright.plans.models import METRICS, RunConfig, run_task
+        from edgewright.plans.tasks import TASKS, task_rows
+
+        load = sg.session_graphs if directed else sg.minfill_graphs
+        task = TASKS[name]
+        rows, channels = task_rows(task, load(spark, d))
+        bundle = run_task(rows, channels, mk.PAIR, RunConfig(models=("rf",), trees=20, max_depth=6, threshold_by=task.threshold_by, ratio=task.ratio))
+        out = [(m, split, metric, float(r[split][metric])) for m, r in bundle.results.items() for split in ("val", "test") for metric in METRICS]
+        return spark.createDataFrame(out, "model string, split string, metric string, value double")
+
+    return query
+
+
+for _name, _directed in (("symmetric-closure", True), ("transitive-closure", True), ("shortcut-elimination", True), ("feedback-edge-set", False), ("spanning-tree", False)):
+    _query("task_" + _name.replace("-", "_"))(_task(_name, _directed))

@@ -500,7 +500,10 @@ def best_augmentation(g: Graphs, k: int, limit: int = 1000, exhaustive_up_to: in
 
 
 def apply_predictions(g: Graphs, scored: DataFrame, k: int) -> DataFrame:
-    """``lambda2_before``, ``lambda2_after``, ``gain_percent`` of adding each graph's ``k`` best scored candidates (i, j, prob)."""
+    """``lambda2_before``, ``lambda2_after``, ``gain_percent`` of adding each graph's ``k`` best scored candidates (i, j, prob).
+
+    A graph without connectivity before (up to rounding) has no percentage: 0.
+    """
     from edgewright.operators.masks import top_k
     from edgewright.operators.node_features import algebraic_connectivity
 
@@ -508,7 +511,7 @@ def apply_predictions(g: Graphs, scored: DataFrame, k: int) -> DataFrame:
     more = doubled(best.select("graph_id", F.col("i").alias("src"), F.col("j").alias("dst")))
     after = algebraic_connectivity(Graphs(g.nodes, g.edges.select("graph_id", "src", "dst").unionByName(more).distinct(), g.directed))
     both = algebraic_connectivity(g).withColumnRenamed("lambda2", "lambda2_before").join(after.withColumnRenamed("lambda2", "lambda2_after"), "graph_id")
-    gain = F.when(F.col("lambda2_before") > 0, 100 * (F.col("lambda2_after") / F.nullif("lambda2_before", F.lit(0.0)) - 1)).otherwise(F.lit(0.0))
+    gain = F.when(F.col("lambda2_before") > 1e-9, 100 * (F.col("lambda2_after") / F.nullif("lambda2_before", F.lit(0.0)) - 1)).otherwise(F.lit(0.0))
     return both.withColumn("gain_percent", gain)
 
 

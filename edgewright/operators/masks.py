@@ -196,3 +196,13 @@ def prefix_offsets(counts: DataFrame, per: list[str], order: str, n: str) -> Dat
     """``offset``: sum of ``n`` over the rows before, in each group."""
     before = Window.partitionBy(*per).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("offset", F.coalesce(F.sum(n).over(before), F.lit(0)))
+
+
+def shards(items: DataFrame, order: str, n: int) -> DataFrame:
+    """``shard`` 1..n: consecutive items, the first (count mod n) shards one larger."""
+    total = items.count()
+    base, more = divmod(total, n)
+    placed = number_rows(items, [order], "__k")
+    k, cut = F.col("__k"), more * (base + 1)
+    late = F.lit(more) + F.floor((k - cut) / max(1, base))
+    return placed.withColumn("shard", (F.when(k < cut, F.floor(k / (base + 1))).otherwise(late) + 1).cast("int")).drop("__k")

@@ -115,6 +115,35 @@ def power(g: Graphs, k: int) -> DataFrame:
     return out.withColumnRenamed("n", f"power_{k}")
 
 
+def powers_of(pairs: DataFrame, g: Graphs, ks: list[int]) -> DataFrame:
+    """``power_k`` for each k of ``ks``, of the listed pairs only.
+
+    The tables of two (and, for k = 5, three) steps are made once; the last product is
+    taken along the listed pairs alone.
+    """
+    from edgewright.plans.scratch import stash
+
+    asked = pairs.select(*PAIR).distinct()
+    one = g.edges.select("graph_id", F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1).cast("bigint").alias("n"))
+    two = stash(_wedges(g).groupBy(*PAIR).agg(F.count("*").alias("n")), "two_steps") if set(ks) & {3, 4, 5} else None
+
+    def product(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+        into = right.select("graph_id", F.col("i").alias("m"), "j", F.col("n").alias("b"))
+        out = left.select("graph_id", "i", F.col("j").alias("m"), F.col("n").alias("a"))
+        return asked.join(into, ["graph_id", "j"]).join(out, ["graph_id", "i", "m"]).groupBy(*PAIR).agg(F.sum(F.col("a") * F.col("b")).alias(name))
+
+    found = asked
+    for k in ks:
+        name = f"power_{k}"
+        if k == 5:
+            three = power(g, 3).withColumnRenamed("power_3", "n")
+            part = product(three, two, name)
+        else:
+            part = product(one if k == 2 else two, two if k == 4 else one, name)
+        found = found.join(part, PAIR, "left")
+    return found.fillna(0, [f"power_{k}" for k in ks])
+
+
 def shortest_path(g: Graphs, max_hops: int | None = None) -> DataFrame:
     """``shortest_path``: hops from i to j for the pairs that are reached, 0 on the diagonal (others: -1, see ``stack``)."""
     from edgewright.plans.scratch import stash
@@ -242,6 +271,8 @@ def stack(pairs: DataFrame, g: Graphs, keys: list[str], redaction: Redaction | N
     if structural or {"deg_row", "deg_col", "deg_diff"} & set(keys):
         wanted = [k for k in ("cn", "jaccard", "adamic_adar", "deg_row", "deg_col", "deg_diff") if k in keys]
         out = out.join(on_demand(pairs, seen).select(*PAIR, *wanted), PAIR, "left")
+    if steps := [int(k[-1]) for k in keys if k.startswith("power_")]:
+        out = out.join(powers_of(pairs, seen, steps), PAIR, "left")
     for key in keys:
         if key in node_like:
             values = (supplied or {}).get(key)
@@ -250,8 +281,6 @@ def stack(pairs: DataFrame, g: Graphs, keys: list[str], redaction: Redaction | N
             continue
         if key == "shortest_path":
             out = out.join(shortest_path(seen), PAIR, "left").fillna(-1, ["shortest_path"])
-        elif key.startswith("power_"):
-            out = out.join(power(seen, int(key[-1])), PAIR, "left")
         elif key == "transpose":
             out = out.join(extract_features(seen, ["transpose"])["transpose"], PAIR, "left")
         elif key not in CANONICAL:

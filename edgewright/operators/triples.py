@@ -106,3 +106,45 @@ def context_means(triples: DataFrame, vector: str = "vec") -> DataFrame:
     value = F.when(F.col("n") > F.col("m"), (F.col("s") - F.col("own")) / F.nullif(F.col("n") - F.col("m"), F.lit(0))).otherwise(0.0)
     listed = keyed.groupBy("triple_id", "end").agg(F.max(F.col("n") - F.col("m")).alias("n"), F.sort_array(F.collect_list(F.struct("p", value.alias("v")))).alias("vs"))
     return listed.select("triple_id", "end", "n", F.transform("vs", lambda x: x["v"]).alias("mean"))
+
+
+def triple_tiles(triples: DataFrame, k: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of one tile per triple.
+
+    Nodes (``triple_id``, ``pos``, ``kind``, ``name``): head 0, the candidate itself 1, tail 2, then the sampled
+    incident triples and their entities. Edges (``triple_id``, ``src``, ``dst``) join each triple with its two
+    entities; a triple whose head is its tail has one.
+    """
+    own = triples.filter("h is not null and t is not null").select("triple_id", *KEY)
+    sampled = sampled_incident(triples, k, seed).select("triple_id", "other_id").distinct()
+    others = triples.select(F.col("triple_id").alias("other_id"), F.col("h").alias("o_h"), F.col("t").alias("o_t"))
+    near = sampled.join(others, "other_id").filter("o_h is not null and o_t is not null").join(own, "triple_id")
+    cand = lambda c: F.concat(F.lit("triple:"), c.cast("string"))
+    ent = lambda c: F.concat(F.lit("entity:"), c)
+    fixed = own.select("triple_id", F.explode(F.array(*[F.struct(F.lit(i).alias("first"), F.lit(kind).alias("kind"), name.alias("name")) for i, kind, name in ((0, "entity", ent(F.col("h"))), (1, "triple", cand(F.col("triple_id"))), (2, "entity", ent(F.col("t"))))])).alias("x")).select("triple_id", "x.*")
+    more = near.select("triple_id", F.explode(F.array(F.struct(F.lit(3).alias("first"), F.lit("triple").alias("kind"), cand(F.col("other_id")).alias("name")), *[F.struct(F.lit(4).alias("first"), F.lit("entity").alias("kind"), ent(F.col(c)).alias("name")) for c in ("o_h", "o_t")])).alias("x")).select("triple_id", "x.first", "x.kind", "x.name")
+    nodes = fixed.unionByName(more).groupBy("triple_id", "kind", "name").agg(F.min("first").alias("first"))
+    nodes = nodes.select("triple_id", (F.row_number().over(Window.partitionBy("triple_id").orderBy("first", "name")) - 1).alias("pos"), "kind", "name")
+    ends = own.select("triple_id", cand(F.col("triple_id")).alias("a"), F.explode(F.array("h", "t")).alias("b")).unionByName(near.select("triple_id", cand(F.col("other_id")).alias("a"), F.explode(F.array("o_h", "o_t")).alias("b")))
+    edges = ends.select("triple_id", F.col("a").alias("src"), ent(F.col("b")).alias("dst")).distinct()
+    return nodes, edges
+
+
+def context_features(triples: DataFrame, vector: str = "vec") -> DataFrame:
+    """``triple_id``, ``features``: of either end [cosine, length-normalised distance, log(1 + number)] against the triple's own vector, and the cosine and distance between both ends.
+
+    Zero vectors give a cosine of 0.
+    """
+    from edgewright.operators.pair_features import cosine, norm
+
+    means = context_means(triples, vector)
+    both = triples.select("triple_id", F.col(vector).alias("v"))
+    for end in ("h", "t"):
+        both = both.join(means.filter(F.col("end") == end).select("triple_id", F.col("mean").alias(f"m_{end}"), F.col("n").alias(f"n_{end}")), "triple_id")
+    gap = lambda a, b: norm(F.zip_with(a, b, lambda x, y: x - y)) / F.sqrt(F.size(a).cast("double"))
+    parts = []
+    for end in ("h", "t"):
+        m = F.col(f"m_{end}")
+        parts += [cosine(F.col("v"), m), gap(F.col("v"), m), F.log1p(F.col(f"n_{end}").cast("double"))]
+    parts += [cosine(F.col("m_h"), F.col("m_t")), gap(F.col("m_h"), F.col("m_t"))]
+    return both.select("triple_id", F.array(*parts).alias("features"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from edgewright.operators.masks import capped_sample
 from edgewright.operators.metrics import best_threshold, binary_report
 from edgewright.operators.normalise import standardise
+from edgewright.plans.scratch import stash
 
 #: Names under which a model may be asked for.
 ALIASES = {"random_forest": "rf", "forest": "rf", "perceptron": "mlp", "deepmlp": "deep_mlp", "logistic": "linear"}
@@ -85,6 +86,7 @@ def run_task(rows: DataFrame, channels: list[str], key: list[str], config: RunCo
     ``rows`` has ``key``, ``split``, ``y`` and the channels. Training rows are sampled as
     ``capped_sample`` says; val and test never.
     """
+    rows = stash(rows.select(*key, "split", "y", *channels), "rows")
     bundle = Bundle(meta={"started": time.strftime("%Y-%m-%dT%H:%M:%S"), "config": asdict(config), "channels": channels})
     train = capped_sample(rows.filter("split = 'train'"), "y", key, config.cap, config.ratio, config.seed)
     scaled = standardise(rows, channels, fit_on=rows.filter("split = 'train'")).persist()

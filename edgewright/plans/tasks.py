@@ -35,23 +35,45 @@ class Task:
     existing: bool = False
     dag: bool = False
     connected: bool = False
-    features: tuple[str, ...] = ("cn", "jaccard", "adamic_adar", "deg_row", "deg_col")
+    features: tuple[str, ...] = ()
+    adj: bool = True
+    ratio: float = 5.0
     redaction: str = "none"
     ratios: tuple[float, float, float] = (0.7, 0.2, 0.1)
     threshold_by: str = "f1"
 
 
+#: The features each workload asks for. Shortcut elimination must not see two-step walks in
+#: any form (power_2, cn, jaccard, adamic_adar): such a channel is its label.
 TASKS = {
     t.name: t
     for t in (
-        Task("symmetric-closure", True, lambda g: _pairs(lb.symmetric_closure(g)), features=("transpose", "deg_row", "deg_col")),
-        Task("transitive-closure", True, lambda g: _pairs(lb.transitive_closure(g)), policy="non_edges", dag=True, features=("cn", "power_2", "power_3", "deg_row", "deg_col")),
-        Task("shortcut-elimination", True, lambda g: _pairs(lb.shortcut_edges(g)), policy="edges", existing=True, dag=True, features=("jaccard", "deg_row", "deg_col", "power_3")),
-        Task("feedback-edge-set", False, lambda g: _pairs(lb.feedback_edges(g)), policy="edges", existing=True, threshold_by="bacc"),
-        Task("spanning-tree", False, _tree_pairs, policy="edges", existing=True, connected=True),
-        Task("estimated-chordal-completion", False, lambda g: _pairs(lb.chordal_completion(g)), policy="non_edges", ratios=(0.8, 0.1, 0.1)),
+        Task(
+            "symmetric-closure", True, lambda g: _pairs(lb.symmetric_closure(g)),
+            features=("powers", "deg_row", "deg_col", "triangles", "clustering_coeff", "cn", "jaccard", "adamic_adar", "transpose"),
+        ),
+        Task(
+            "transitive-closure", True, lambda g: _pairs(lb.transitive_closure(g)), policy="non_edges", dag=True, redaction="adj_only",
+            features=("powers", "deg_row", "deg_col", "triangles", "clustering_coeff", "transpose"),
+        ),
+        Task(
+            "shortcut-elimination", True, lambda g: _pairs(lb.shortcut_edges(g)), existing=True, dag=True,
+            features=("power_3", "power_4", "power_5", "degree", "deg_row", "deg_col", "deg_diff", "triangles", "clustering_coeff"),
+        ),
+        Task(
+            "feedback-edge-set", False, lambda g: _pairs(lb.feedback_edges(g)), existing=True, threshold_by="bacc", ratio=1.0,
+            features=("powers", "degree", "endpoint_degree", "triangles", "clustering_coeff", "jaccard", "adamic_adar"),
+        ),
+        Task(
+            "spanning-tree", False, _tree_pairs, policy="edges", existing=True, connected=True, adj=False,
+            features=("powers", "degree", "deg_diff", "triangles", "clustering_coeff", "cn", "jaccard", "adamic_adar"),
+        ),
+        Task(
+            "estimated-chordal-completion", False, lambda g: _pairs(lb.chordal_completion(g)), policy="non_edges", ratios=(0.8, 0.1, 0.1), redaction="adj_only",
+            features=("powers", "degree", "endpoint_degree", "deg_diff", "triangles", "clustering_coeff", "cn", "jaccard", "adamic_adar", "shortest_path"),
+        ),
     )
-}
+}
 
 
 def task_rows(task: Task, g: Graphs, seed: int = 0) -> tuple[DataFrame, list[str]]:
@@ -61,11 +83,12 @@ def task_rows(task: Task, g: Graphs, seed: int = 0) -> tuple[DataFrame, list[str
     if task.connected:
         g = Graphs(g.nodes, lb.stitch(g, seed), False)
     mask = mask_policy(g, task.policy)
-    pairs = effective_mask(mask, g, check=False)
+    # of an all-cells mask only the edges are left where just existing edges count: the grid is never made then
+    pairs = effective_mask(mask_policy(g, "edges") if task.existing and task.policy == "all" else mask, g, check=False)
     if task.existing:
         pairs = existing_only(pairs, g)
     keys = feature_keys(list(task.features), g.directed)
-    channels = stack(pairs, g, keys, Redaction(task.redaction), mask, use_adj=not task.existing)
+    channels = stack(pairs, g, keys, Redaction(task.redaction), mask, use_adj=task.adj)
     positive = task.label(g).select(*PAIR).distinct().withColumn("y", F.lit(1))
     rows = channels.join(positive, PAIR, "left").fillna(0, ["y"])
     split = ratio_split(g.nodes.select("graph_id").distinct(), "graph_id", task.ratios, seed)
