@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgewright.plans.numbering import running_sums
+
 NAN = float("nan")
 
 
+def _counted(scored: DataFrame, prob: str, label: str) -> DataFrame:
+    """``thr``, ``p``, ``n`` (rows of either class with exactly this score), ``tp``, ``fp``, ``pos``, ``neg``."""
+    by = scored.groupBy(F.col(prob).alias("thr")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n"))
+    summed = running_sums(by, [F.desc("thr")], {"tp": "p", "fp": "n"})
+    pos, neg = summed.agg(F.sum("p"), F.sum("n")).first()
+    return summed.withColumns({"pos": F.lit(pos or 0).cast("bigint"), "neg": F.lit(neg or 0).cast("bigint")})
+
+
 def sweep(scored: DataFrame, prob: str = "prob", label: str = "y") -> DataFrame:
     """One row per distinct score as threshold: ``thr``, ``tp``, ``fp``, ``pos``, ``neg`` (score >= thr counts as positive).
 
-    Equal scores are combined before anything is ordered; the running sums go over the
-    distinct scores.
+    Equal scores are combined before anything is ordered; the distinct scores are summed
+    up range by range, so that any number of them is spread over the tasks.
     """
-    by = scored.groupBy(F.col(prob).alias("thr")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n"))
-    down = Window.orderBy(F.desc("thr")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy()
-    return by.select("thr", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(all_).alias("pos"), F.sum("n").over(all_).alias("neg"))
+    return _counted(scored, prob, label).select("thr", "tp", "fp", "pos", "neg")
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -54,19 +61,16 @@ def confusion_metrics(scored: DataFrame, thr: float, prob: str = "prob", label:
 
 def auroc(scored: DataFrame, prob: str = "prob", label: str = "y") -> DataFrame:
     """``auroc``: probability that a positive scores higher than a negative, ties half; NaN unless both classes occur."""
-    s = sweep(scored, prob, label)
-    step = Window.orderBy(F.desc("thr"))
-    tp0, fp0 = F.coalesce(F.lag("tp").over(step), F.lit(0)), F.coalesce(F.lag("fp").over(step), F.lit(0))
-    area = s.select("pos", "neg", ((F.col("fp") - fp0) * (F.col("tp") + tp0) / 2).alias("a"))
+    s = _counted(scored, prob, label)
+    area = s.select("pos", "neg", (F.col("n") * (2 * F.col("tp") - F.col("p")) / 2).alias("a"))
     sums = area.agg(F.sum("a").alias("a"), F.max("pos").alias("pos"), F.max("neg").alias("neg"))
     return sums.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("a") / F.nullif(F.col("pos") * F.col("neg"), F.lit(0))).otherwise(NAN).alias("auroc"))
 
 
 def average_precision(scored: DataFrame, prob: str = "prob", label: str = "y") -> DataFrame:
     """``auprc``: sum over thresholds of (gain in recall) * precision; NaN unless both classes occur."""
-    s = sweep(scored, prob, label)
-    tp0 = F.coalesce(F.lag("tp").over(Window.orderBy(F.desc("thr"))), F.lit(0))
-    part = s.select("pos", "neg", ((F.col("tp") - tp0) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("a"))
+    s = _counted(scored, prob, label)
+    part = s.select("pos", "neg", (F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("a"))
     sums = part.agg(F.sum("a").alias("a"), F.max("pos").alias("pos"), F.max("neg").alias("neg"))
     return sums.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("a") / F.nullif(F.col("pos"), F.lit(0))).otherwise(NAN).alias("auprc"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,14 +26,12 @@ def standardise(rows: DataFrame, channels: list[str], fit_on: DataFrame | None =
 
 def zscore(rows: DataFrame, columns: list[str], per: list[str], valid: Column | None = None) -> DataFrame:
     """(x - mean) / max(std, 1e-8) within each group, over the valid rows; others become 0."""
-    own, use = Window.partitionBy(*per), valid if valid is not None else F.lit(True)
-
-    def score(c: str) -> Column:
-        x = F.when(use, F.col(c).cast("double"))
-        std = F.greatest(F.sqrt(F.var_pop(x).over(own)), F.lit(1e-8))
-        return F.when(use, (x - F.avg(x).over(own)) / std).otherwise(0.0)
-
-    return rows.withColumns({c: score(c) for c in columns})
+    use = valid if valid is not None else F.lit(True)
+    held = [F.when(use, F.col(c).cast("double")) for c in columns]
+    # a group is a few numbers here, however many rows it has
+    stats = rows.groupBy(*per).agg(*[a for c, x in zip(columns, held) for a in (F.avg(x).alias(f"__m_{c}"), F.greatest(F.sqrt(F.var_pop(x)), F.lit(1e-8)).alias(f"__s_{c}"))])
+    scores = {c: F.when(use, (x - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).otherwise(0.0) for c, x in zip(columns, held)}
+    return rows.join(stats, per).select(*[scores[c].alias(c) if c in scores else F.col(c) for c in rows.columns])
 
 
 def sigmoid(logit: Column) -> Column:

@@ -64,8 +64,7 @@ def _with_degrees(edges: DataFrame) -> DataFrame:
 
 def row_stochastic(edges: DataFrame) -> DataFrame:
     """``w`` = 1 / out-degree of the source."""
-    out = Window.partitionBy("graph_id", "src")
-    return edges.select(*EDGE, (1 / F.greatest(F.count("*").over(out), F.lit(1))).alias("w"))
+    return _with_degrees(edges).select(*EDGE, (1 / F.greatest(F.col("d_src"), F.lit(1))).alias("w"))
 
 
 def symmetric_norm(edges: DataFrame) -> DataFrame:

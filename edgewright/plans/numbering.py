@@ -38,3 +38,22 @@ def number_rows(df: DataFrame, order: list[Column | str], name: str = "row_no")
         .withColumn(name, (F.col(first) + inside).cast("bigint"))
         .select(*df.columns, name)
     )
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``df`` plus, for each (new column: column) of ``sums``, the sum over all rows up to and including this one.
+
+    As in ``number_rows`` the order is cut into sorted ranges; sums run within a range, and
+    the totals of the ranges before it (one row per range) are added. ``order`` should be
+    unique, else equal rows are summed in no defined order. Nulls add nothing.
+    """
+    part = "__sum_part"
+    at = "__sum_at"
+    placed = stash(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "sums")
+    placed = placed.withColumn(part, F.shiftright(at, _PART_BIT))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(part).agg(*[F.sum(c).alias(f"__t_{c}") for c in set(sums.values())])
+    starts = totals.select(part, *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in set(sums.values())])
+    within = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumns({name: F.coalesce(F.sum(c).over(within), F.lit(0)) for name, c in sums.items()})
+    return local.join(F.broadcast(starts), part).select(*df.columns, *[(F.col(name) + F.col(f"__b_{c}")).alias(name) for name, c in sums.items()])
