@@ -29,8 +29,8 @@ def graph_overlaps(graphs: DataFrame, params: CodeParams | None = None) -> DataF
     held = F.col("split").isin("val", "test")
     rows = graphs.filter(train | held).withColumn("in_train", train)
     classes, members = graph_classes(rows, "in_train", flags={"any_train": train, "any_held": held})
-    codes = code_rows(classes, params, "any_train", "any_held")
-    a, b = codes.filter("any_train").alias("a"), codes.filter("any_held").alias("b")
+    # either side codes its own classes only
+    a, b = (code_rows(classes.filter(side), params).alias(name) for side, name in (("any_train", "a"), ("any_held", "b")))
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class_id") != F.col("b.class_id")) & within_radius("a", "b", params.least))
     candidates = met.select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")).distinct()
     near = verified(candidates, classes, classes, params.least)
