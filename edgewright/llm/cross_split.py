@@ -56,7 +56,7 @@ def triple_overlaps(triples: DataFrame, relations: DataFrame, max_edits: int = 2
     grouped = read.groupBy(*fields, *mark).agg(F.bool_or("in_train").alias("any_train"), F.bool_or(~F.col("in_train")).alias("any_held"))
     classes = stash(grouped, "triples")
     words = classes.select(F.explode(F.array_distinct(F.array("head", "tail"))).alias("word"), "any_train", "any_held")
-    words = words.groupBy("word").agg(F.bool_or("any_train").alias("any_train"), F.bool_or("any_held").alias("any_held"))
+    words = stash(words.groupBy("word").agg(F.bool_or("any_train").alias("any_train"), F.bool_or("any_held").alias("any_held")), "words")
     near = stash(near_words(words, "any_held", "any_train", max_edits), "near")
     held = classes.filter("any_held").select(*fields, F.col("m1").alias("b_m1"), F.col("m2").alias("b_m2"), F.lit(0).alias("edits"))
     probes = _rewritten(_rewritten(held, near, "head", max_edits), near, "tail", max_edits)
