@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.functions.order import hash_order
-from edgewright.plans.numbering import number_rows
+from edgewright.plans.numbering import WINDOW_ROWS, number_rows, rank_within
+from edgewright.plans.scratch import stash
 from edgewright.sources.graphs import Graphs
 
 PAIR = ["graph_id", "i", "j"]
@@ -159,7 +160,7 @@ def balance(pairs: DataFrame, label: str, order: list[str], ratio: float, seed:
     return pairs.filter(F.col(label) == 1).unionByName(shuffled.drop("__k"))
 
 
-def negative_pairs(g: Graphs, per_edge: float, seed: int = 0) -> DataFrame:
+def negative_pairs(g: Graphs, per_edge: float, seed: int = 0, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """round(per_edge * edges) distinct non-edges i <> j of each graph.
 
     Each edge proposes partners by hash of its source and a draw number, so no grid of all
@@ -167,17 +168,15 @@ def negative_pairs(g: Graphs, per_edge: float, seed: int = 0) -> DataFrame:
     Sparse graphs are assumed: with too few non-edges fewer come out.
     """
     draws = int(per_edge * 1.5) + 2
-    own = Window.partitionBy("graph_id")
-    codes = g.nodes.withColumn("__k", F.row_number().over(own.orderBy("node")) - 1).withColumn("__n", F.count("*").over(own))
-    sized = g.edges.join(codes.groupBy("graph_id").agg(F.first("__n").alias("__n")), "graph_id")
-    drawn = sized.withColumn("__d", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    codes = stash(rank_within(g.nodes.select("graph_id", "node").distinct(), "graph_id", ["node"], "__k", window_rows), "codes")
+    sizes = codes.groupBy("graph_id").agg(F.count("*").alias("__n"))
+    drawn = g.edges.join(sizes, "graph_id").withColumn("__d", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     pick = F.pmod(F.conv(F.substring(hash_order(seed, "graph_id", "src", "dst", "__d"), 1, 12), 16, 10).cast("bigint"), F.col("__n"))
-    partner = codes.select("graph_id", F.col("__k"), F.col("node").alias("j"))
-    proposed = drawn.select("graph_id", F.col("src").alias("i"), pick.cast("int").alias("__k")).join(partner, ["graph_id", "__k"])
-    fresh = proposed.filter("i <> j").select(*PAIR).distinct().join(cells_of(g.edges), PAIR, "left_anti")
+    partner = codes.select("graph_id", "__k", F.col("node").alias("j"))
+    proposed = drawn.select("graph_id", F.col("src").alias("i"), pick.alias("__k")).join(partner, ["graph_id", "__k"])
+    fresh = stash(proposed.filter("i <> j").select(*PAIR).distinct().join(cells_of(g.edges), PAIR, "left_anti").withColumn("__h", hash_order(seed, "i", "j")), "fresh")
     wanted = g.edges.groupBy("graph_id").agg(F.round(F.count("*") * F.lit(per_edge)).alias("__want"))
-    ranked = fresh.withColumn("__r", F.row_number().over(own.orderBy(hash_order(seed, "i", "j"), "i", "j"))).join(wanted, "graph_id")
-    return ranked.filter("__r <= __want").select(*PAIR)
+    return rank_within(fresh, "graph_id", ["__h", "i", "j"], "__r", window_rows).join(wanted, "graph_id").filter("__r < __want").select(*PAIR)
 
 
 def candidate_non_edges(g: Graphs, limit: int, seed: int = 0) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.functions.order import hash_order, unit_hash
+from edgewright.plans.numbering import WINDOW_ROWS, rank_within
 from edgewright.sources.graphs import doubled
 
 EDGE = ["graph_id", "src", "dst"]
@@ -22,12 +23,12 @@ def orient_dag(edges: DataFrame) -> DataFrame:
     return edges.filter("src < dst")
 
 
-def organic_dropout(edges: DataFrame, seed: int = 0, low: float = 0.10, high: float = 0.15) -> DataFrame:
+def organic_dropout(edges: DataFrame, seed: int = 0, low: float = 0.10, high: float = 0.15, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Each graph without floor(m * f) of its m edges, f between ``low`` and ``high`` by the graph; undirected edges must come once."""
-    own = Window.partitionBy("graph_id")
     share = F.lit(low) + F.lit(high - low) * unit_hash(seed, "graph_id")
-    ranked = edges.withColumn("__m", F.count("*").over(own)).withColumn("__k", F.row_number().over(own.orderBy(hash_order(seed, "src", "dst"), "src", "dst")))
-    return ranked.filter(F.col("__k") > F.floor(F.col("__m") * share)).select(*EDGE)
+    sizes = edges.groupBy("graph_id").agg(F.count("*").alias("__m"))
+    ranked = rank_within(edges.select(*EDGE).withColumn("__h", hash_order(seed, "src", "dst")), "graph_id", ["__h", "src", "dst"], "__k", window_rows)
+    return ranked.join(sizes, "graph_id").filter(F.col("__k") >= F.floor(F.col("__m") * share)).select(*EDGE)
 
 
 def union_edges(*parts: DataFrame) -> DataFrame:
@@ -79,12 +80,9 @@ def transpose(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def reindex(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, codes): nodes of each graph numbered 0, 1, ... in their order; ``codes`` has graph_id, node, code.
-
-    The numbering window is per graph; one single huge graph is numbered by range partitions instead (``number_rows``).
-    """
-    codes = nodes.distinct().withColumn("code", (F.row_number().over(Window.partitionBy("graph_id").orderBy("node")) - 1).cast("bigint"))
+def reindex(edges: DataFrame, nodes: DataFrame, window_rows: int = WINDOW_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(edges, codes): nodes of each graph numbered 0, 1, ... in their order; ``codes`` has graph_id, node, code."""
+    codes = rank_within(nodes.select("graph_id", "node").distinct(), "graph_id", ["node"], "code", window_rows)
     for end in ("src", "dst"):
         edges = edges.join(codes.select("graph_id", F.col("node").alias(end), F.col("code").alias(f"__{end}")), ["graph_id", end])
     return edges.select("graph_id", F.col("__src").alias("src"), F.col("__dst").alias("dst")), codes

@@ -57,3 +57,23 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> Da
     within = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.withColumns({name: F.coalesce(F.sum(c).over(within), F.lit(0)) for name, c in sums.items()})
     return local.join(F.broadcast(starts), part).select(*df.columns, *[(F.col(name) + F.col(f"__b_{c}")).alias(name) for name, c in sums.items()])
+
+
+#: Groups of up to this many rows are ranked by a window, one task a group; beyond, by numbering all rows.
+WINDOW_ROWS = 200_000
+
+
+def rank_within(df: DataFrame, group: str, order: list[Column | str], name: str = "rank", window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """``df`` plus ``name``: 0, 1, 2, ... within each ``group`` in the order of ``order`` (which should be unique there).
+
+    The largest group is counted first. If it is small, a window ranks each group; otherwise all
+    rows are numbered by (group, order) and each group's first number is taken off, so that
+    one group with all the rows is spread over the tasks too. Null groups are dropped.
+    """
+    df = df.filter(F.col(group).isNotNull())
+    most = df.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= window_rows:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("bigint"))
+    placed = number_rows(df, [group, *order], "__all")
+    first = placed.groupBy(group).agg(F.min("__all").alias("__first"))
+    return placed.join(first, group).select(*df.columns, (F.col("__all") - F.col("__first")).alias(name))

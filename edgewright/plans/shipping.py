@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,7 +21,9 @@ def ship_package(spark: SparkSession) -> None:
     package = Path(__file__).resolve().parent.parent
     if package.is_dir():
         # the driver serves this file to the executors; nothing else reads it
-        path = Path(tempfile.mkdtemp(prefix="edgewright-code-")) / f"{package.name}.zip"
+        folder = tempfile.mkdtemp(prefix="edgewright-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = Path(folder) / f"{package.name}.zip"
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as held:
             for source in sorted(package.rglob("*.py")):
                 held.write(source, source.relative_to(package.parent))

@@ -181,3 +181,17 @@ def test_redaction_hides_edges(u):
     shown = pf.stack(mk.all_cells(u), u, ["cn", "shortest_path"], pf.Redaction("none"))
     assert shown.agg(F.sum("adj")).first()[0] == 8
     assert shown.filter("i = 0 and j = 4").first().shortest_path == -1
+
+
+def test_ranks_by_window_and_by_numbering_agree(spark):
+    rng = random.Random(12)
+    rows = [(rng.randrange(3), rng.randrange(40), rng.randrange(40)) for _ in range(200)]
+    e = tf.sanitise(spark.createDataFrame(rows, "graph_id bigint, src bigint, dst bigint"), False)
+    g = Graphs(e.select("graph_id", F.col("src").alias("node")).distinct(), e, False)
+    for make in (
+        lambda k: tf.reindex(g.edges, g.nodes, k)[0],
+        lambda k: tf.organic_dropout(g.edges, 3, window_rows=k),
+        lambda k: mk.negative_pairs(g, 1.0, 2, k),
+    ):
+        one = sorted(map(tuple, make(200_000).collect()))
+        assert one and one == sorted(map(tuple, make(1).collect()))
