@@ -473,7 +473,7 @@ _query("incidence", "SELECT h AS entity, triple_id FROM triples_clean WHERE h IS
 _query("all_triples", "SELECT h, r, t FROM triples_clean UNION ALL SELECT h, r, t FROM triples_error")(lambda s, d: table(s, d, "triples_clean").select("h", "r", "t").unionByName(table(s, d, "triples_error").select("h", "r", "t")))
 _query("corrupted_triples")(lambda s, d: tr.corrupted(table(s, d, "triples_clean")))
 _query("sampled_incident")(lambda s, d: tr.sampled_incident(table(s, d, "triples_clean"), 4))
-_query(
+@_query(
     "context_mean",
     """WITH v AS (SELECT triple_id, h, r, t, CAST(length(h) AS DOUBLE) AS a, CAST(length(t) AS DOUBLE) AS b FROM triples_clean WHERE h IS NOT NULL AND r IS NOT NULL AND t IS NOT NULL),
 i AS (SELECT 'h' AS "end", h AS entity, * FROM v UNION ALL SELECT 't', t, * FROM v),
