@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from edgewright.llm.encode import FragmentEncoder, encode_texts, token_counts
 from edgewright.llm.packing import best_fit, fill_report, pack, pack_documents, plan_containers, reduce_dominated
-from edgewright.llm.prose import sentences
+from edgewright.llm.prose import sentence_starts, sentences
 from edgewright.llm.subjects import document_subjects, fit_subjects, label_shares, sentence_shares
 
 ENCODER = FragmentEncoder()
@@ -126,6 +126,24 @@ def test_sentences():
     assert sentences(None) == sentences("") == sentences(" \n") == []
 
 
+def test_prose_without_end_marks():
+    starts = {w for (w, first), n in sentence_starts(["The graph of Mila is small. The judge met Mila again."]).items() if first}
+    assert starts == {"The"}
+    text = "Long before arbitration a notice was served  In Mila we see it  The court met The graph is small then\nRe: true-minimal-chordal-graph-completion\n[11:10:13] epoch 1 loss=05455 val_f1=0776"
+    assert [" ".join(s) for s in sentences(text, starts=starts)] == ["long before arbitration a notice was served", "in mila we see it", "the court met", "the graph is small then"]
+
+
+def test_unpunctuated_documents_get_their_subjects(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/subject_labels.parquet")
+    asked = docs.filter("doc_id in (4071, 4284, 1646)")
+    model = fit_subjects(docs, labels.filter("doc_id not in (4071, 4284, 1646)"))
+    found = sentence_shares(asked, model).filter("n_about * 5 >= n_sentences").collect()
+    assert {r.doc_id for r in found} == {4071, 4284, 1646}
+    truth = {(r.doc_id, r.subject_id) for r in label_shares(labels).filter("doc_id in (4071, 4284, 1646)").collect()}
+    assert {(r.doc_id, r.subject_id) for r in found} == truth
+
+
 def test_label_shares(spark):
     rows = [(1, 2, "a"), (1, 3, "a"), (1, 2, "b"), (2, None, "a"), (3, 5, "a"), (3, None, "b"), (None, 1, "a"), (4, 6, None), (4, 6, None)]
     labels = spark.createDataFrame(rows, "doc_id bigint, subject_id int, annotator string")
