@@ -282,7 +282,7 @@ def intra_community(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("claimed_tiles")
 def claimed_tiles(spark: SparkSession, d: str) -> DataFrame:
-    return lb.claimed_tiles(sg.friend_graph(spark, d), 4, 64)
+    return lb.claimed_tiles(sg.friend_graph(spark, d))
 
 
 @_query("ego_tiles")

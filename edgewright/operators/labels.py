@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from edgewright.functions.order import hash_order
 from edgewright.operators.node_features import largest_graph, per_edge_list, per_graph
+from edgewright.plans.numbering import rank_within
 from edgewright.plans.scratch import stash
 from edgewright.sources.graphs import Graphs, doubled
 
@@ -564,15 +565,57 @@ def ego_tiles(g: Graphs, pairs: DataFrame, budget: int = 384, quota: int = 16) -
     return found
 
 
-def claimed_tiles(g: Graphs, n_seeds: int = 4, budget: int = 512, seed: int = 0) -> DataFrame:
-    """``tile``, ``src`` < ``dst``: each edge claimed by the first of the seeded neighbourhoods that holds both ends.
+def claimed_tiles(g: Graphs, n_seeds: int = 4, budget: int = 512, seed: int = 0, first_share: int = 128) -> DataFrame:
+    """``tile``, ``src`` < ``dst``: every edge, claimed by the first tile that holds both its ends.
 
-    Seeds are the first nodes of each graph in hash order; edges in no tile are left out.
+    A tile is the union of breadth-first neighbourhoods around ``n_seeds`` edges that no tile
+    of an earlier round claimed, ``budget`` nodes in all. A round grows tiles around one of
+    ``first_share`` unclaimed edges in hash order and the next around twice that share, so
+    that the last one, if not an earlier one, seeds every edge left.
     """
-    order = Window.partitionBy("graph_id").orderBy(hash_order(seed, "graph_id", "node"), "node")
-    seeds = stash(g.nodes.withColumn("tile", F.row_number().over(order)).filter(F.col("tile") <= n_seeds), "seeds")
-    hoods = bounded_neighbourhood(g, seeds.select("graph_id", F.col("node").alias("seed")), budget)
-    tiles = hoods.join(seeds.select("graph_id", F.col("node").alias("seed"), "tile"), ["graph_id", "seed"]).select("graph_id", "tile", "node")
     edges = g.edges.select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    both = edges.join(tiles.withColumnRenamed("node", "src"), ["graph_id", "src"]).join(tiles.withColumnRenamed("node", "dst"), ["graph_id", "tile", "dst"])
-    return both.groupBy("graph_id", "src", "dst").agg(F.min("tile").alias("tile"))
+    open_edges = stash(edges.withColumn("h", hash_order(seed, "graph_id", "src", "dst")), "open")
+    near = doubled(g.edges.select("graph_id", "src", "dst").filter("src <> dst")).distinct()
+    # of a node's neighbours no more than the budget can be taken
+    near = near.withColumnRenamed("src", "node").withColumn("q", F.row_number().over(Window.partitionBy(*NODE).orderBy("dst")))
+    near = stash(near.filter(F.col("q") <= budget), "near")
+    share, before, claimed = first_share, 0, None
+    while True:
+        left = open_edges.groupBy("graph_id").agg(F.count("*").alias("left"))
+        seeds = rank_within(open_edges, "graph_id", ["h", "src", "dst"], "seed").join(left, "graph_id")
+        seeds = seeds.filter(F.col("seed") < F.greatest(F.lit(n_seeds), F.ceil(F.col("left") / share)))
+        seeds = seeds.withColumn("tile", F.lit(before + 1) + F.floor(F.col("seed") / n_seeds))
+        size = seeds.groupBy("graph_id", "tile").agg(F.greatest(F.lit(2), F.floor(F.lit(budget) / F.count("*"))).alias("most"))
+        seeds = stash(seeds.join(size, ["graph_id", "tile"]).select("graph_id", "seed", "tile", "most", "src", "dst"), "seeds")
+        tiles = stash(_grown(near, seeds).select("graph_id", "tile", "node").distinct(), "tiles")
+        spread = tiles.groupBy(*NODE).agg(F.count("*").alias("n"))
+        ends = open_edges
+        for end in ("src", "dst"):
+            ends = ends.join(spread.select("graph_id", F.col("node").alias(end), F.col("n").alias(f"n_{end}")), ["graph_id", end])
+        # each edge meets the tiles of that end which is in fewer of them
+        rare = F.col("n_src") <= F.col("n_dst")
+        ends = ends.select("graph_id", "src", "dst", F.when(rare, F.col("src")).otherwise(F.col("dst")).alias("node"), F.when(rare, F.col("dst")).otherwise(F.col("src")).alias("other"))
+        held = ends.join(tiles, NODE).join(tiles.withColumnRenamed("node", "other"), ["graph_id", "tile", "other"], "left_semi")
+        fresh = stash(held.groupBy("graph_id", "src", "dst").agg(F.min("tile").alias("tile")), "claimed")
+        claimed = fresh if claimed is None else claimed.unionByName(fresh)
+        open_edges = stash(open_edges.join(fresh, ["graph_id", "src", "dst"], "left_anti"), "open")
+        if open_edges.isEmpty():
+            return claimed
+        before = seeds.agg(F.max("tile")).first()[0]
+        share = max(1, share // 2)
+
+
+def _grown(near: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``tile``, ``seed``, ``node``: breadth-first from both ends of each seed edge, level by level and by node id, at most ``most`` nodes."""
+    key = ["graph_id", "tile", "seed"]
+    found = front = stash(seeds.select(*key, "most", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node")), "hop")
+    while True:
+        counts = found.groupBy(*key).agg(F.count("*").alias("held"))
+        going = front.join(counts, key).filter(F.col("held") < F.col("most"))
+        ahead = going.join(near, NODE).filter(F.col("q") <= F.col("most")).select(*key, "most", "held", F.col("dst").alias("node")).distinct()
+        fresh = ahead.join(found.select(*key, "node"), [*key, "node"], "left_anti")
+        ranked = fresh.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("node")))
+        front = stash(ranked.filter(F.col("r") + F.col("held") <= F.col("most")).select(*key, "most", "node"), "hop")
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)

@@ -152,3 +152,15 @@ def test_tiles_hide_their_own_edge(spark):
     tile = lb.ego_tiles(g, spark.createDataFrame([(0, 1, 2)], "graph_id bigint, i bigint, j bigint"))
     assert {(r.node, r.hop) for r in tile.collect()} == {(1, 0), (2, 0), (3, 1), (4, 2)}
     assert pf.powers_of(e.select("graph_id", F.col("src").alias("i"), F.col("dst").alias("j")), g, [2]).agg(F.sum("power_2")).first()[0] == 0
+
+
+def test_tiles_claim_every_edge_once(spark):
+    ring = [(g, k, (k + 1) % 60) for g in (0, 1) for k in range(60)]
+    e = sg.doubled(spark.createDataFrame(ring, "graph_id bigint, src bigint, dst bigint"))
+    g = sg.Graphs(e.select("graph_id", F.col("src").alias("node")).distinct(), e, False)
+    got = lb.claimed_tiles(g, 4, 16).collect()
+    assert sorted((r.graph_id, r.src, r.dst) for r in got) == sorted((g, min(a, b), max(a, b)) for g, a, b in ring)
+    held = {}
+    for r in got:
+        held.setdefault((r.graph_id, r.tile), set()).update((r.src, r.dst))
+    assert max(map(len, held.values())) <= 16
