@@ -288,7 +288,7 @@ def claimed_tiles(spark: SparkSession, d: str) -> DataFrame:
 @_query("ego_tiles")
 def ego_tiles(spark: SparkSession, d: str) -> DataFrame:
     g = sg.friend_graph(spark, d)
-    return lb.ego_tiles(g, mk.top_k(edge_pairs(g), ["graph_id"], [F.md5(F.concat_ws("-", "i", "j")), F.col("i"), F.col("j")], 50), 64, 8)
+    return lb.ego_tiles(g, edge_pairs(g))
 
 
 @_query(

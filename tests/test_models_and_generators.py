@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgewright.operators import generators as gen
+from edgewright.graph_queries import QUERIES
 from edgewright.operators import labels as lb
 from edgewright.operators import normalise as no
 from edgewright.operators import pair_features as pf
@@ -164,3 +165,8 @@ def test_tiles_claim_every_edge_once(spark):
     for r in got:
         held.setdefault((r.graph_id, r.tile), set()).update((r.src, r.dst))
     assert max(map(len, held.values())) <= 16
+
+
+def test_every_pair_has_its_tile(spark, small):
+    tiles = QUERIES["ego_tiles"](spark, small)
+    assert tiles.select("i", "j").distinct().count() == sg.friend_graph(spark, small).edges.count()
