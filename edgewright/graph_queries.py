@@ -264,8 +264,8 @@ _on("U", "feedback_edges")(lb.feedback_edges)
 _on("U", "chordality")(lb.chordality)
 _on("U", "chordal_completion")(lb.chordal_completion)
 _on("U", "fill_candidates")(lb.fill_candidates)
-_on("U", "lambda2_gains")(lambda g: lb.connectivity_gains(g, 10, 3).select("graph_id", "i", "j", "gain", "y"))
-_on("U", "best_augmentation")(lambda g: lb.best_augmentation(g, 2, 8))
+_on("U", "lambda2_gains")(lambda g: lb.connectivity_gains(g).select("graph_id", "i", "j", "gain", "y"))
+_on("U", "best_augmentation")(lambda g: lb.best_augmentation(g, 5))
 _on("U", "communities")(lb.communities)
 _on("D", "minimum_fill")(lambda g: lb.minimum_fill(g).select("graph_id", "n_fill"))
 
@@ -531,7 +531,7 @@ _on("D", "overlap_mean", " SELECT graph_id, src AS i, dst AS j, round(1.5, 6)::D
     lambda g: pg.overlap_mean(edge_pairs(g).withColumn("value", F.explode(F.array(F.lit(1.0), F.lit(2.0)))))
 )
 _on("U", "modularity")(lambda g: lb.modularity(g, g.nodes.withColumn("community", F.col("node") % 3)))
-_on("U", "greedy_predictions")(lambda g: lb.apply_predictions(g, mk.candidate_non_edges(g, 10).withColumn("prob", F.lit(0.5)), 3))
+_on("U", "greedy_predictions")(lambda g: lb.apply_predictions(g, lb.connectivity_gains(g).withColumn("prob", F.col("gain")), 5))
 
 
 def _task(name: str, directed: bool) -> Query:

@@ -452,13 +452,46 @@ def _gain(a: np.ndarray, pairs: list[tuple[int, int]]) -> float:
     return float(np.linalg.eigvalsh(np.diag(m.sum(axis=1)) - m)[1])
 
 
+def _connectivities(a: np.ndarray, sets: list[tuple[tuple[int, int], ...]]) -> np.ndarray:
+    """lambda2 with each set of pairs added."""
+    out = np.zeros(len(sets))
+    for at in range(0, len(sets), 100):
+        part = sets[at : at + 100]
+        m = np.repeat(a[None].astype(float), len(part), axis=0)
+        for k, pairs in enumerate(part):
+            for i, j in pairs:
+                m[k, i, j] = m[k, j, i] = 1
+        laplacian = -m
+        diagonal = np.arange(len(a))
+        laplacian[:, diagonal, diagonal] += m.sum(axis=2)
+        out[at : at + 100] = np.linalg.eigvalsh(laplacian)[:, 1]
+    return out
+
+
+def _single_connectivities(a: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """lambda2 with each one pair added: the root between lambda2 and lambda3 of the secular equation, by bisection."""
+    if not pairs:
+        return np.zeros(0)
+    values, vectors = np.linalg.eigh(np.diag(a.sum(axis=1)) - a)
+    i, j = np.array(pairs).T
+    z = (vectors[i] - vectors[j]) ** 2
+    low = np.full(len(pairs), values[1])
+    high = np.full(len(pairs), min(values[2], values[1] + 2) if len(values) > 2 else values[1] + 2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(52):
+            middle = (low + high) / 2
+            above = 1 + (z / (values - middle[:, None])).sum(axis=1) > 0
+            high, low = np.where(above, middle, high), np.where(above, low, middle)
+    return (low + high) / 2
+
+
 def connectivity_gains(g: Graphs, limit: int = 1000, top: int = 20, seed: int = 0) -> DataFrame:
     """``i``, ``j``, ``gain``, ``y``: growth of lambda2 by each candidate non-edge; the ``top`` first by gain are positive."""
 
     def work(ids: np.ndarray, a: np.ndarray) -> pd.DataFrame:
         pairs = _candidates(a, limit, seed)
         base = _gain(a, []) if len(ids) > 1 else 0.0
-        rows = sorted(((round(_gain(a, [p]) - base, 12), p) for p in pairs), key=lambda x: (-x[0], x[1]))
+        rows = sorted(((round(after - base, 12), p) for after, p in zip(_single_connectivities(a, pairs).tolist(), pairs)), key=lambda x: (-x[0], x[1]))
         return pd.DataFrame([(int(ids[i]), int(ids[j]), gain, int(k < top)) for k, (gain, (i, j)) in enumerate(rows)], columns=["i", "j", "gain", "y"])
 
     return per_graph(g, work, "graph_id bigint, i bigint, j bigint, gain double, y bigint")
@@ -483,17 +516,25 @@ def best_augmentation(g: Graphs, k: int, limit: int = 1000, exhaustive_up_to: in
         base = _gain(a, []) if len(ids) > 1 else 0.0
         size = min(k, len(pairs))
         if comb(len(pairs), size) <= exhaustive_up_to:
-            method, best = "exhaustive", max(((_gain(a, s), s) for s in combinations(pairs, size)), default=(base, ()))
+            sets = list(combinations(pairs, size))
+            method, best = "exhaustive", max(zip(_connectivities(a, sets).tolist(), sets)) if size else (base, ())
         elif len(pairs) <= 200:
             method, front = "beam", [(base, ())]
             for _ in range(size):
-                ahead = {tuple(sorted((*s, p))) for _, s in front for p in pairs if p not in s}
-                front = sorted(((_gain(a, list(s)), s) for s in ahead), key=lambda x: (-x[0], x[1]))[:beam]
+                ahead: dict[tuple, float] = {}
+                for _, s in front:
+                    m = a.copy()
+                    for i, j in s:
+                        m[i, j] = m[j, i] = 1
+                    free = [p for p in pairs if p not in s]
+                    for p, after in zip(free, _single_connectivities(m, free).tolist()):
+                        ahead.setdefault(tuple(sorted((*s, p))), after)
+                front = sorted(((after, s) for s, after in ahead.items()), key=lambda x: (-x[0], x[1]))[:beam]
             best = front[0]
         else:
             rng = np.random.default_rng(seed)
             drawn = [tuple(pairs[i] for i in sorted(rng.choice(len(pairs), size, replace=False))) for _ in range(samples)]
-            method, best = "monte_carlo", max((_gain(a, list(s)), s) for s in drawn)
+            method, best = "monte_carlo", max(zip(_connectivities(a, drawn).tolist(), drawn))
         added = [[int(ids[i]), int(ids[j])] for i, j in best[1]]
         return pd.DataFrame({"method": [method], "lambda2_before": [base], "lambda2_after": [float(best[0])], "added": [added]})
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from edgewright.operators import generators as gen
 from edgewright.graph_queries import QUERIES
 from edgewright.operators import labels as lb
+from edgewright.operators import masks as mk
 from edgewright.operators import normalise as no
 from edgewright.operators import pair_features as pf
 from edgewright.operators import triples as tr
@@ -170,3 +171,20 @@ def test_tiles_claim_every_edge_once(spark):
 def test_every_pair_has_its_tile(spark, small):
     tiles = QUERIES["ego_tiles"](spark, small)
     assert tiles.select("i", "j").distinct().count() == sg.friend_graph(spark, small).edges.count()
+
+
+def test_all_non_edges_are_candidates(spark, small):
+    free = {r[0]: r[1] for r in mk.candidate_non_edges(sg.minfill_graphs(spark, small), 1000).groupBy("graph_id").count().collect()}
+    got = QUERIES["lambda2_gains"](spark, small).groupBy("graph_id").agg(F.count("*").alias("n"), F.sum("y").alias("top")).collect()
+    assert {r.graph_id: (r.n, r.top) for r in got} == {g: (n, min(20, n)) for g, n in free.items()}
+
+
+def test_single_gains_equal_eigenvalues():
+    rng = np.random.default_rng(4)
+    for n, p in ((4, 0.0), (6, 0.2), (9, 0.4), (12, 0.7)):
+        a = np.triu(rng.random((n, n)) < p, 1).astype(float)
+        a += a.T
+        pairs = lb._candidates(a, 1000, 0)
+        want = [lb._gain(a, [x]) for x in pairs]
+        assert np.allclose(lb._single_connectivities(a, pairs), want, atol=1e-9)
+        assert np.allclose(lb._connectivities(a, [(x,) for x in pairs]), want, atol=1e-9)
