@@ -1,10 +1,11 @@
 """Encoding texts with a public byte-level BPE vocabulary.
 
 No merge can join two bytes that stand side by side in no token of the vocabulary, so
-such a byte pair marks a certain cut (forced boundary). Cuts are taken where they
-also leave the splitting pattern unchanged, about one per ``FRAGMENT`` bytes; the
-fragments between them are encoded independently and their ids concatenated. So the
-work on a text grows with its length, whatever it holds.
+such a byte pair marks a certain cut (forced boundary). Every cut that also leaves the
+splitting pattern unchanged is taken. The fragments between cuts are independent, so
+each distinct fragment of a batch is encoded once and the ids of all its places are
+gathered from there; a worker keeps the fragments it has met. The ids of a text are those
+of its fragments one after the other.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Of the certain cuts, the first in each window of this many bytes is taken.
-FRAGMENT = 2048
+#: A worker forgets its fragments beyond this many held bytes and ids, and encodes them anew when met again.
+HELD = 32_000_000
 
 
 def joined_pairs(tokens: list[bytes]) -> np.ndarray:
@@ -60,29 +60,59 @@ class FragmentEncoder:
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self._plain = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._cut = certain_cuts(joined_pairs(list(ranks)))
+        self._cut = certain_cuts(joined_pairs(list(ranks))).ravel()
+        self._known: dict[bytes, np.ndarray] = {}
+        self._held = 0
 
     def encode(self, text: str) -> list[int]:
         """Ids of one text."""
         return self.encode_batch(pa.array([text], pa.string()))[0].as_py()
 
-    def encode_batch(self, texts: pa.Array) -> pa.ListArray:
-        """Ids of each text; a null or empty text has none."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        texts = pa.concat_arrays([texts])  # one buffer from its beginning
+    def fragments(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(the fragments between certain cuts, number of the first fragment of each text and of the end)."""
+        texts = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])  # one buffer from its beginning
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = texts.buffers()[2]
-        whole = memoryview(data) if data is not None else memoryview(b"")
-        held = np.frombuffer(whole, np.uint8)[: offsets[-1]]
-        cut = np.flatnonzero(self._cut[held[:-1], held[1:]]) + 1 if len(held) > 1 else np.empty(0, np.int64)
-        cut = cut[np.unique(cut // FRAGMENT, return_index=True)[1]]
-        edges = np.unique(np.concatenate([cut[cut > offsets[0]], offsets]))
-        raw, at = bytes(whole), edges.tolist()
-        parts = [self._plain.encode_ordinary(raw[a:b].decode("utf-8")) for a, b in zip(at, at[1:])]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
-        ids = np.fromiter(chain.from_iterable(parts), np.int32, ends[-1])
-        stops = ends[np.searchsorted(edges, offsets)]
-        return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(ids))
+        held = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+        cut = np.flatnonzero(self._cut[(held[:-1].astype(np.uint16) << 8) | held[1:]]) + 1 + offsets[0] if len(held) > 1 else np.empty(0, np.int64)
+        edges = np.unique(np.concatenate([cut, offsets]))
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), data])
+        return parts, np.searchsorted(edges, offsets)
+
+    def _ids_of(self, fragment: bytes) -> np.ndarray:
+        ids = self._known.get(fragment)
+        if ids is None:
+            ids = np.array(self._plain.encode_ordinary(fragment.decode("utf-8")), np.int32)
+            if self._held > HELD:
+                self._known, self._held = {}, 0
+            self._known[fragment] = ids
+            self._held += len(fragment) + ids.nbytes + 200
+        return ids
+
+    def _coded(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(ids of each distinct fragment, the distinct fragment at each place, first place of each text and the end)."""
+        parts, first = self.fragments(texts)
+        coded = parts.dictionary_encode()
+        return [self._ids_of(x) for x in coded.dictionary.to_pylist()], coded.indices.to_numpy(), first
+
+    def encode_batch(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text; a null or empty text has none."""
+        distinct, place, first = self._coded(texts)
+        if not distinct:
+            return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1), pa.int32()), pa.array([], pa.int32()))
+        sizes = np.array([len(x) for x in distinct], np.int64)
+        starts, own = np.cumsum(sizes) - sizes, sizes[place]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        # position of each id in the joined ids of the distinct fragments
+        at = np.repeat(starts[place] - ends[:-1], own) + np.arange(ends[-1])
+        return pa.ListArray.from_arrays(pa.array(ends[first], pa.int32()), pa.array(np.concatenate(distinct)[at]))
+
+    def count_batch(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text."""
+        distinct, place, first = self._coded(texts)
+        sizes = np.array([len(x) for x in distinct], np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes[place])]) if distinct else np.zeros(1, np.int64)
+        return np.diff(ends[first])
 
 
 @lru_cache(maxsize=4)
@@ -111,7 +141,7 @@ def encode_texts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id``, ``n_tokens`` of every document; the ids stay within the task that makes them."""
+    """``doc_id``, ``n_tokens`` of every document, counted by fragments: no list of ids is made."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +149,6 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = own.encode_batch(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids.value_lengths().cast(pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.count_batch(part.column(1)), pa.int64())], schema=schema)
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")

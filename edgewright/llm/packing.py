@@ -5,14 +5,19 @@ of documents is its histogram of sizes, whose length the capacity bounds. On the
 histogram, sets that provably dominate all alternatives are fixed for good
 (Martello-Toth reduction), which shrinks the instance, and the remainder is packed by
 best fit in decreasing order. Both work on runs of equal containers. The documents,
-numbered exactly in the order of size, then look up the container of their number.
+numbered exactly in the order of size, then look up the run that holds their number: the
+runs cut the numbers into ranges, so each document meets one run, however often its size
+occurs.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,14 +183,24 @@ def pack(items: DataFrame, capacity: int, sizes: str = "n_tokens", key: str = "d
     places, container = [], 0
     for run in plan_containers(counts, capacity):
         for size, each in run.items:
-            places.append((size, first[size], first[size] + run.count * each, each, container))
+            places.append((first[size], each, container))
             first[size] += run.count * each
         container += run.count
     # the plan's length is bounded by the capacity, not by the documents
-    plan = spark.createDataFrame(places, "size int, row_from bigint, row_to bigint, each bigint, container_from bigint")
-    met = numbered.join(F.broadcast(plan), "size").filter("row_no >= row_from and row_no < row_to")
-    return met.select(
-        (F.col("container_from") + F.floor((F.col("row_no") - F.col("row_from")) / F.col("each"))).cast("bigint").alias("container_id"),
+    places.sort()
+    plan = spark.sparkContext.broadcast(np.array(places or [(0, 1, 0)], np.int64))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_from, each, container = plan.value.T
+        for batch in batches:
+            row = batch.column("row_no").to_numpy(zero_copy_only=False)
+            run = np.searchsorted(row_from, row, side="right") - 1
+            held = pa.array(container[run] + (row - row_from[run]) // each[run], pa.int64())
+            yield pa.RecordBatch.from_arrays([held, *[batch.column(x) for x in ("key", "piece_no", "size")]], names=["container_id", "key", "piece_no", "size"])
+
+    placed = numbered.mapInArrow(look_up, f"container_id bigint, key {numbered.schema['key'].dataType.simpleString()}, piece_no int, size int")
+    return placed.select(
+        "container_id",
         F.col("key").alias(key),
         "piece_no",
         (F.col("piece_no").cast("bigint") * c).alias("token_from"),

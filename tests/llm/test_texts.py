@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,6 +38,15 @@ def test_long_texts_are_cut_and_whole():
         assert ENCODER.encode(text) == plain(text)
 
 
+def test_texts_are_cut_at_every_certain_boundary():
+    texts = pa.array(["one two, three", None, "", "four", "one two"], pa.string())
+    parts, first = ENCODER.fragments(texts)
+    assert parts.to_pylist() == [b"one", b" two,", b" three", b"four", b"one", b" two"]
+    assert first.tolist() == [0, 3, 3, 3, 4, 6]
+    assert ENCODER.encode_batch(texts.slice(1, 3)).to_pylist() == [[], [], plain("four")]
+    assert ENCODER.count_batch(texts).tolist() == [len(plain(x or "")) for x in texts.to_pylist()]
+
+
 def test_documents_are_encoded(spark):
     rows = [(1, "Hello world"), (2, ""), (3, None), (4, " \n"), (None, "x"), (1, "Hello world")]
     docs = spark.createDataFrame([(a, b, "q", 5) for a, b in rows], "doc_id bigint, text string, ids string, n_tokens int")
