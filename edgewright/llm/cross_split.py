@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgewright.llm.graph_codes import CodeParams, code_rows, graph_classes, verified, within_radius
+from edgewright.llm.graph_codes import CodeParams, code_rows, graph_classes, leading, verified, within_radius
 from edgewright.llm.triples import read_triples
 from edgewright.llm.word_codes import near_words
 from edgewright.plans.scratch import stash
@@ -30,8 +30,8 @@ def graph_overlaps(graphs: DataFrame, params: CodeParams | None = None) -> DataF
     rows = graphs.filter(train | held).withColumn("in_train", train)
     classes, members = graph_classes(rows, "in_train", flags={"any_train": train, "any_held": held})
     # either side codes its own classes only
-    a, b = (code_rows(classes.filter(side), params).alias(name) for side, name in (("any_train", "a"), ("any_held", "b")))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class_id") != F.col("b.class_id")) & within_radius("a", "b", params.least))
+    a, b = (code_rows(classes.filter(side), params).withColumn("code", leading("key")).alias(name) for side, name in (("any_train", "a"), ("any_held", "b")))
+    met = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("a.class_id") != F.col("b.class_id")) & within_radius("a", "b", params.least))
     candidates = met.select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")).distinct()
     near = verified(candidates, classes, classes, params.least)
     same = classes.filter("any_train and any_held").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"))

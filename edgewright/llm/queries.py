@@ -127,7 +127,22 @@ spread AS (SELECT unnest(trains) AS x, helds FROM met),
 triple_pairs AS (SELECT x, unnest(helds) AS y FROM spread),
 found_pairs AS (SELECT 'graph' AS kind, least(x, y) AS id_a, greatest(x, y) AS id_b FROM graph_pairs UNION ALL SELECT 'triple', least(x, y), greatest(x, y) FROM triple_pairs)"""
 
+_P3 = f"""{_PAIRS},
+near AS (SELECT a.graph_id AS x, b.graph_id AS y, b.batch_no AS y_no FROM items a JOIN items b ON a.p = b.p AND a.batch_no > 0 AND a.graph_id <> b.graph_id
+  AND (b.batch_no < a.batch_no OR (b.batch_no = a.batch_no AND b.graph_id < a.graph_id))
+  GROUP BY a.graph_id, b.graph_id, b.batch_no, a.n, b.n HAVING count(*) * 5 >= greatest(a.n, b.n) * 4),
+queue AS (SELECT row_number() OVER (ORDER BY batch_no, graph_id) AS k, graph_id AS x, coalesce(old, false) AS old, coalesce(earlier, []) AS earlier
+  FROM graphs LEFT JOIN (SELECT x, bool_or(y_no = 0) AS old, list(y) AS earlier FROM near GROUP BY x) ON x = graph_id WHERE batch_no > 0),
+steps AS (SELECT 0 AS k, CAST([] AS BIGINT[]) AS taken
+  UNION ALL SELECT q.k, CASE WHEN q.old OR list_has_any(taken, q.earlier) THEN taken ELSE list_append(taken, q.x) END FROM steps JOIN queue q ON q.k = steps.k + 1),
+accepted AS (SELECT graph_id AS y FROM graphs WHERE batch_no = 0 UNION ALL SELECT unnest(taken) FROM steps WHERE k = (SELECT max(k) FROM steps))"""
+
 SQL: dict[str, str] = {
+    "p3_found": f"WITH RECURSIVE {_P3} SELECT least(x, y) AS id_a, greatest(x, y) AS id_b FROM near WHERE y IN (FROM accepted) AND x NOT IN (FROM accepted)",
+    "p1_report": f"""WITH {_P1}, ends AS (SELECT kind, id_a AS id FROM found_pairs UNION ALL SELECT kind, id_b FROM found_pairs),
+counts AS (SELECT kind, id, count(*) AS n FROM ends GROUP BY kind, id),
+origin AS (SELECT 'graph' AS kind, graph_id AS id, split, source FROM min_fill_dataset UNION ALL SELECT 'triple', triple_id, split, source FROM triples_clean)
+SELECT kind, split, source, CAST(sum(n) AS BIGINT) AS n_pairs, count(*) AS n_records FROM counts JOIN origin USING (kind, id) WHERE split IN ('val', 'valid', 'test') GROUP BY kind, split, source""",
     "p1_found": f"WITH {_P1} SELECT kind, id_a, id_b FROM found_pairs",
     "p4_found": f"""WITH {_READ}, firsts AS (SELECT *, min(triple_id) OVER (PARTITION BY rel, head, tail) AS first_id FROM reads)
 SELECT first_id, triple_id AS copy_id FROM firsts WHERE triple_id <> first_id""",
