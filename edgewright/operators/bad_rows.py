@@ -1,9 +1,11 @@
 """Loading untidy lines: typed rows for the valid ones, a reason for each failing one.
 
-Blocks of lines are parsed in bulk with columnar Arrow kernels that accept only what
-is plainly in order. A block that does not pass is cut in two, again and again,
-until the offending lines stand alone; only those go through the strict parser,
-which either loads them (quoted but sound) or names the reason of failure.
+Blocks of lines are tested in bulk by one columnar pattern that accepts only what is
+plainly in order. A block that fails is cut in two, again and again, the failures of
+either half being known from their running count, until the offending lines stand alone. The
+clean stretches between them stay Arrow slices and are typed in bulk; the single lines
+go through the strict parser, which either loads them (quoted but sound) or names the
+reason of failure.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -123,69 +126,60 @@ def parse_line(line: str, form: LineFormat, relations: frozenset[str]) -> tuple[
     return (None, "invalid_value") if values is None else (values, None)
 
 
-def _bulk(lines: pa.Array, form: LineFormat, relations: pa.Array) -> list[pa.Array] | None:
-    """Columns of a block in which every line is plainly valid, else None."""
-    text = pc.utf8_rtrim(lines, "\r")
-    if pc.any(pc.match_substring(text, '"')).as_py():
-        return None
-    if form.tab_only:
-        parts = pc.split_pattern(text, "\t")
-    else:
-        parts = pc.split_pattern_regex(pc.utf8_trim(text, " \t"), "[ \t]+")
-    width = len(form.columns)
-    if pc.any(pc.not_equal(pc.list_value_length(parts), width)).as_py():
-        return None
-    out = []
-    for i, kind in enumerate(form.kinds):
-        field = pc.list_element(parts, i)
-        if kind == "int":
-            if not pc.all(pc.match_substring_regex(field, "^[0-9]{1,10}$")).as_py():
-                return None
-            value = pc.cast(field, pa.int64())
-            if pc.max(value).as_py() > MAX_NUMBER:
-                return None
-        else:
-            value = pc.utf8_trim(field, " ")
-            if kind == "relation":
-                value = pc.replace_substring_regex(value, "^/r/", "")
-                if not pc.all(pc.is_in(value, value_set=relations)).as_py():
-                    return None
-            elif not pc.all(pc.match_substring_regex(value, "[0-9A-Za-z]")).as_py() or pc.any(pc.match_substring(value, "�")).as_py():
-                return None
-        out.append(value)
-    return out
+def plain_pattern(form: LineFormat, relations: frozenset[str]) -> str:
+    """Pattern of the lines that are valid beyond doubt: no quotes, ASCII values, numbers well below the largest."""
+    if not form.tab_only:
+        return r"^[ \t]*" + r"[ \t]+".join([r"[0-9]{1,9}"] * len(form.columns)) + r"[ \t]*\r*$"
+    names = "|".join(re.escape(x) for x in sorted(relations)) or "[^\\s\\S]"
+    held = {"int": "[0-9]{1,9}", "relation": f"(?:/r/)?(?:{names})", "value": '[^\\t"\\r\ufffd]*[0-9A-Za-z][^\\t"\\r\ufffd]*'}
+    return "^" + "\\t".join(f" *{held[k]} *" for k in form.kinds) + r"\r*$"
 
 
-def parse_block(lines: pa.Array, form: LineFormat, relations: frozenset[str]) -> tuple[list[list], list[str | None]]:
-    """Values by column (None where a line fails) and reasons (None where it loads), by bulk parsing and bisection."""
-    known = pa.array(sorted(relations), pa.string())
-    columns: list[list] = [[] for _ in form.columns]
-    reasons: list[str | None] = []
-    todo = [(0, len(lines))]
+def bisect_block(bad: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """(clean stretches as (start, length), failing lines) of a block, by halving whatever holds a failing line."""
+    before = np.concatenate([[0], np.cumsum(bad)]).tolist()
+    clean: list[tuple[int, int]] = []
+    single: list[int] = []
+    todo = [(0, len(bad))] if len(bad) else []
     while todo:
         at, n = todo.pop()
-        if n == 0:
-            continue
-        bulk = _bulk(lines.slice(at, n), form, known) if n > 1 else None
-        if bulk is not None:
-            for held, more in zip(columns, bulk):
-                held.extend(more.to_pylist())
-            reasons.extend([None] * n)
-        elif n > 1:
+        if before[at + n] == before[at]:
+            clean.append((at, n))
+        elif n == 1:
+            single.append(at)
+        else:
             half = n // 2
             todo += [(at + half, n - half), (at, half)]
-        else:
-            values, reason = parse_line(lines[at].as_py(), form, relations)
-            for i, held in enumerate(columns):
-                held.append(None if values is None else values[i])
-            reasons.append(reason)
-    return columns, reasons
+    return clean, single
+
+
+def _typed(lines: pa.Array, form: LineFormat) -> list[pa.Array]:
+    """Columns of lines that are plainly valid."""
+    text = pc.utf8_rtrim(lines, "\r")
+    parts = pc.split_pattern(text, "\t") if form.tab_only else pc.split_pattern_regex(pc.utf8_trim(text, " \t"), "[ \t]+")
+    out = []
+    for i, kind in enumerate(form.kinds):
+        value = pc.utf8_trim(pc.list_element(parts, i), " ")
+        if kind == "relation":
+            value = pc.replace_substring_regex(value, "^/r/", "")
+        out.append(pc.cast(value, pa.int64()) if kind == "int" else value)
+    return out
+
+
+def parse_block(lines: pa.Array, form: LineFormat, relations: frozenset[str], pattern: str | None = None, typed: bool = True) -> tuple[list[tuple[int, int]], list[pa.Array], list[tuple[int, list | None, str | None]]]:
+    """(clean stretches, their typed columns one after the other, (line, values or None, reason or None) of each other line)."""
+    plain = pc.match_substring_regex(lines, pattern or plain_pattern(form, relations))
+    clean, single = bisect_block(~plain.to_numpy(zero_copy_only=False))
+    columns: list[pa.Array] = []
+    if typed and clean:
+        columns = _typed(pa.concat_arrays([lines.slice(at, n) for at, n in clean]), form)
+    return clean, columns, [(k, *parse_line(lines[k].as_py(), form, relations)) for k in single]
 
 
 _EMPTY = r"^[ \t\r]*$"
 
 
-def parse_lines(lines: DataFrame, relations: DataFrame, formats: dict[str, LineFormat] | None = None, block_rows: int = 512) -> DataFrame:
+def parse_lines(lines: DataFrame, relations: DataFrame, formats: dict[str, LineFormat] | None = None, only_failing: bool = False) -> DataFrame:
     """Every line that counts, once: typed values with a null ``reason``, or a ``reason`` with null values.
 
     ``lines`` has ``line_id``, ``file_name``, ``line``; ``relations`` has ``relation``
@@ -193,25 +187,33 @@ def parse_lines(lines: DataFrame, relations: DataFrame, formats: dict[str, LineF
     carriage return) and lines beginning with ``#`` are left out, as are lines of files
     without a format. Null line ids are kept; repeated lines are parsed each; other
     columns are ignored; an empty table gives no rows. A very long line is one record
-    like any other. Nothing is shuffled.
+    like any other. Nothing is shuffled. With ``only_failing`` valid lines are tested but
+    neither typed nor returned.
     """
     forms = formats or FORMATS
     names = frozenset(x.relation for x in relations.select("relation").filter("relation is not null").distinct().collect())
-    schema = pa.schema(
-        [("line_id", pa.int64()), ("file_name", pa.string()), ("u", pa.int64()), ("v", pa.int64()), ("weight", pa.int64()), ("r", pa.string()), ("h", pa.string()), ("t", pa.string()), ("reason", pa.string())]
-    )
+    patterns = {name: plain_pattern(form, names) for name, form in forms.items()}
+    types = {"line_id": pa.int64(), "u": pa.int64(), "v": pa.int64(), "weight": pa.int64()}
+    schema = pa.schema([(n, types.get(n, pa.string())) for n in ("line_id", "file_name", "u", "v", "weight", "r", "h", "t", "reason")])
+
+    def rows(held: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([held[f.name] if f.name in held else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, form in forms.items():
-                own = batch.filter(pc.equal(batch.column("file_name"), name))
-                for at in range(0, own.num_rows, block_rows):
-                    block = own.slice(at, block_rows)
-                    columns, reasons = parse_block(block.column("line"), form, names)
-                    held = dict(zip(form.columns, columns)) | {"reason": reasons}
-                    empty = [None] * block.num_rows
-                    arrays = [block.column(f.name) if f.name in ("line_id", "file_name") else pa.array(held.get(f.name, empty), f.type) for f in schema]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+                block = batch.filter(pc.equal(batch.column("file_name"), name))
+                if not block.num_rows:
+                    continue
+                clean, columns, others = parse_block(block.column("line"), form, names, patterns[name], typed=not only_failing)
+                if columns:
+                    ids = pa.concat_arrays([block.column("line_id").slice(at, n) for at, n in clean])
+                    yield rows({"line_id": ids, "file_name": pa.repeat(pa.scalar(name), len(ids)), **dict(zip(form.columns, columns))}, len(ids))
+                others = [x for x in others if x[2] is not None or not only_failing]
+                if others:
+                    values = {c: pa.array([x[1][i] if x[1] else None for x in others], schema.field(c).type) for i, c in enumerate(form.columns)}
+                    ids = block.column("line_id").take(pa.array([x[0] for x in others]))
+                    yield rows({"line_id": ids, "file_name": pa.repeat(pa.scalar(name), len(ids)), "reason": pa.array([x[2] for x in others], pa.string()), **values}, len(ids))
 
     told = lines.select(F.col("line_id").cast("bigint").alias("line_id"), "file_name", "line")
     counted = told.filter(F.col("file_name").isin(*forms) & F.col("line").isNotNull() & ~F.col("line").rlike(_EMPTY) & ~F.col("line").startswith("#"))
@@ -220,7 +222,7 @@ def parse_lines(lines: DataFrame, relations: DataFrame, formats: dict[str, LineF
 
 def failing_lines(lines: DataFrame, relations: DataFrame) -> DataFrame:
     """``line_id``, ``reason`` of the failing lines."""
-    return parse_lines(lines, relations).filter("reason is not null").select("line_id", "reason")
+    return parse_lines(lines, relations, only_failing=True).select("line_id", "reason")
 
 
 def loaded_rows(lines: DataFrame, relations: DataFrame) -> DataFrame:

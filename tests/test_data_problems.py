@@ -7,6 +7,7 @@ import json
 import random
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -66,11 +67,23 @@ def test_blocks_agree_with_single_lines(name):
     pieces = ["1", "22", "KindOf", "/r/PieceOf", "a", "é", " ", "\t", '"', "�", "-", "2147483648", "\r", "007"]
     lines = ["1 2", "1\t2 3", "KindOf\ta\tb"] * 20 + ["".join(rng.choices(pieces, k=rng.randint(1, 7))) for _ in range(3000)]
     rng.shuffle(lines)
-    columns, reasons = br.parse_block(pa.array(lines), br.FORMATS[name], REL)
-    for k, line in enumerate(lines):
-        values, reason = br.parse_line(line, br.FORMATS[name], REL)
-        assert reasons[k] == reason
-        assert [c[k] for c in columns] == (values or [None] * len(columns))
+    clean, columns, others = br.parse_block(pa.array(lines), br.FORMATS[name], REL)
+    place = [k for at, n in clean for k in range(at, at + n)]
+    got = dict(zip(place, zip(*[c.to_pylist() for c in columns]))) if clean else {}
+    assert sorted([*got, *[x[0] for x in others]]) == list(range(len(lines)))
+    for k, values, reason in others:
+        assert (values, reason) == br.parse_line(lines[k], br.FORMATS[name], REL)
+    for k, values in got.items():
+        assert br.parse_line(lines[k], br.FORMATS[name], REL) == (list(values), None)
+
+
+def test_bisection_isolates_failing_lines():
+    bad = np.array([False] * 5 + [True] + [False] * 10 + [True, True])
+    clean, single = br.bisect_block(bad)
+    assert single == [5, 16, 17]
+    assert sorted(k for at, n in clean for k in range(at, at + n)) == [k for k in range(18) if not bad[k]]
+    assert len(clean) < 10
+    assert br.bisect_block(np.array([], bool)) == ([], [])
 
 
 def test_lines_with_nulls_blanks_and_clashing_columns(spark):
