@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from edgewright.llm.cross_split import graph_overlaps, overlap_report, triple_overlaps
 from edgewright.llm.graph_codes import CodeParams, _codes, pair_sets
 from edgewright.llm.history import AcceptedGraphs, batch_duplicates
-from edgewright.llm.merkle import collapse_triples, copies
+from edgewright.llm.merkle import Items, Leaf, Ordered, Unordered, collapse_triples, copies, rooted, same_records
 from edgewright.llm.sorted_runs import SortedRuns
 from edgewright.llm.terms import term_counts, triple_terms
 from edgewright.llm.word_codes import near_words
@@ -269,3 +269,31 @@ def test_terms(spark):
 
 def test_terms_of_triples_with_nulls(triple_table):
     assert triple_terms(triple_table).filter("term = 'lamp'").count() == 1
+
+
+def test_nested_records_by_digest(spark):
+    low = lambda c: F.lower(F.trim(c))
+    schema = Ordered(Leaf("name", low), Unordered(Leaf("a", low), Leaf("b", low)), Items("tags", lambda x: Ordered(Leaf(x["k"], low), Leaf(x["v"]))))
+    rows = [
+        (1, "Graph ", "x", "Y", [("k", 1), ("l", 2)]),
+        (2, "graph", "y", " X", [("L", 2), ("K", 1)]),
+        (3, "graph", "x", "y", [("k", 1), ("l", 2), ("l", 2)]),
+        (4, "graph", "x", None, None),
+        (5, "GRAPH", None, "x", None),
+        (6, "x", "graph", "y", [("k", 1), ("l", 2)]),
+        (7, "graph", "x','y", None, []),
+        (8, "graph", "x", "y", []),
+        (None, "graph", "x", "y", []),
+    ]
+    df = spark.createDataFrame(rows, "id bigint, name string, a string, b string, tags array<struct<k:string,v:int>>")
+    groups, members = same_records(rooted(df, "id", schema))
+    assert sorted((r.first_id, r.n_copies) for r in groups.collect()) == [(1, 2), (3, 1), (4, 2), (6, 1), (7, 1), (8, 2)]
+    assert sorted((r.first_id, r.id or 0) for r in members.collect()) == [(1, 1), (1, 2), (4, 4), (4, 5), (8, 0), (8, 8)]
+
+
+def test_clashing_digests_are_parted_by_structure(spark):
+    rows = [(1, 5, 5, "a"), (2, 5, 5, "b"), (3, 5, 5, "a"), (4, 5, 5, "b"), (5, 5, 5, "c"), (6, 6, 6, "a")]
+    for most in (1, 200_000):
+        groups, members = same_records(spark.createDataFrame(rows, "id bigint, d1 bigint, d2 bigint, structure string"), most)
+        assert sorted((r.first_id, r.n_copies) for r in groups.collect()) == [(1, 2), (2, 2), (5, 1), (6, 1)]
+        assert sorted((r.first_id, r.id) for r in members.collect()) == [(1, 1), (1, 3), (2, 2), (2, 4), (5, 5)]
