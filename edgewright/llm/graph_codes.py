@@ -159,15 +159,15 @@ def window_of(key: str, n_pairs: str, least: float) -> tuple[Column, Column]:
     return start + low, start + high
 
 
-def within_radius(a: str, b: str, least: float) -> Column:
-    """May two coded classes be alike: sizes close enough and fingerprints within the Hamming radius that likeness allows.
+def within_radius(n_pairs: str, bits: str, least: float) -> Column:
+    """May two coded classes (columns with suffix ``_a`` and ``_b``) be alike: sizes close enough and fingerprints within the Hamming radius that likeness allows.
 
     Alike graphs share at least ``least`` of the larger's pairs, so they differ in at most
     (sizes) - 2 * least * (larger) pairs, each of which flips one bit at most.
     """
-    na, nb = F.col(f"{a}.n_pairs"), F.col(f"{b}.n_pairs")
+    na, nb = F.col(f"{n_pairs}_a"), F.col(f"{n_pairs}_b")
     shared = F.ceil(F.greatest(na, nb) * F.lit(least) - F.lit(1e-9))
-    return (F.least(na, nb) >= shared) & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= na + nb - 2 * shared)
+    return (F.least(na, nb) >= shared) & (F.bit_count(F.col(f"{bits}_a").bitwiseXOR(F.col(f"{bits}_b"))) <= na + nb - 2 * shared)
 
 
 def alike(pairs_a: Column, pairs_b: Column, least: float) -> Column:

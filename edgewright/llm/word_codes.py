@@ -1,42 +1,94 @@
 """Words within a few edits of each other, by segmented code blocks.
 
-The characters are parted into ``N_GROUPS`` letter groups. Inserting or deleting a
-character changes the letters of one group, replacing one those of two at most, so of
-six groups at least two are untouched by two edits. The code of a word is, for each
-two groups, the hash of their letters in order; words that share a code, and whose bit
-fingerprints (parity of each character) differ in at most two bits per edit, are
-verified by their edit distance.
+The characters are parted into ``N_GROUPS`` letter groups by a hash of the character, so
+every script spreads over all of them. Inserting or deleting a character changes the
+letters of one group, replacing one those of two at most, so of six groups at least two
+are untouched by two edits. The code of a word is, for each two groups, the hash of
+their letters in order; words that share a code, and whose bit fingerprints (parity of
+each character) differ in at most two bits per edit, are verified by their edit distance.
+In short words most groups are empty and tell nothing: words of up to ``SHORT`` characters are
+coded by what is left of them after up to two deletions instead, for two words
+within two edits have such a rest in common.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of all groups but the last; the last has every other character.
-GROUPS = ("apwb", "efmk", "igrz", "ohsy", "uldx")
-N_GROUPS = len(GROUPS) + 1
+from edgewright.plans.skew import skew_join
+
+N_GROUPS = 6
 MAX_EDITS = 2
-_UNTOUCHED = N_GROUPS - 2 * MAX_EDITS
+#: Words of up to SHORT characters meet by deletions; those of more than SHORT - MAX_EDITS also have group codes.
+SHORT = 8
+_PAIRS = list(combinations(range(N_GROUPS), N_GROUPS - 2 * MAX_EDITS))
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x + _MIX[2]) * _MIX[0]
+    x = (x ^ (x >> np.uint64(29))) * _MIX[1]
+    return x ^ (x >> np.uint64(32))
+
+
+def _powers(n: int) -> np.ndarray:
+    out = np.ones(max(n, 1), np.uint64)
+    out[1:] = np.uint64(0x100000001B3)
+    return np.multiply.accumulate(out)
 
 
-def code_blocks(word: Column) -> Column:
-    """Array of the code blocks of ``word``."""
-    outside = [f"[^{g}]+" for g in GROUPS] + [f"[{''.join(GROUPS)}]+"]
-    parts = [F.regexp_replace(word, pattern, "") for pattern in outside]
-    return F.array(*[F.xxhash64(F.lit(i), *[parts[g] for g in some]) for i, some in enumerate(combinations(range(N_GROUPS), _UNTOUCHED))])
+def code_words(words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(bit fingerprint, codes) of each word."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    text = "".join(words)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    mixed = _mixed(points)
+    bits = np.zeros(len(words), np.uint64)
+    np.bitwise_xor.at(bits, owner, np.uint64(1) << (mixed >> np.uint64(58)))
+    slot = owner * N_GROUPS + (mixed % np.uint64(N_GROUPS)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    slot, letter = slot[order], mixed[order]
+    start = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1]) if len(slot) else np.empty(0, np.int64)
+    rank = np.arange(len(slot)) - np.repeat(start, np.diff([*start, len(slot)]))
+    held = np.zeros(len(words) * N_GROUPS, np.uint64)
+    if len(slot):
+        held[slot[start]] = np.add.reduceat(letter * _powers(int(rank.max()) + 1)[rank], start)
+    held = held.reshape(len(words), N_GROUPS)
+    grouped = np.stack([_mixed(_mixed(held[:, a] + np.uint64(k + 1)) ^ held[:, b]) for k, (a, b) in enumerate(_PAIRS)], axis=1)
+    powers, codes, first = _powers(SHORT), [], np.cumsum(sizes) - sizes
+    for k, n in enumerate(sizes):
+        own = [grouped[k]] if n > SHORT - MAX_EDITS else []
+        if n <= SHORT:
+            letters = mixed[first[k] : first[k] + n]
+            for gone in range(min(MAX_EDITS, n) + 1):
+                keep = np.array(list(combinations(range(n), n - gone)), np.int64).reshape(-1, n - gone)
+                own.append(np.unique((letters[keep] * powers[: n - gone]).sum(axis=1, dtype=np.uint64) + np.uint64(0xA5A5 + n - gone)))
+        codes.append(np.concatenate(own))
+    return bits, codes
 
 
-def fingerprint(word: Column) -> Column:
-    """64 bits, each the parity of the characters hashed to it."""
-    start = F.lit(0).cast("bigint")
-    return F.aggregate(F.split(word, ""), start, lambda bits, c: bits.bitwiseXOR(F.when(c == "", start).otherwise(_bit(c))))
+def coded_words(words: DataFrame, *keep: str) -> DataFrame:
+    """``code``, ``word``, ``bits`` and ``keep``: one row per word and code; null words have none."""
+    types = "".join(f", {k} {words.schema[k].dataType.simpleString()}" for k in keep)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                bits, codes = code_words(batch.column(0).to_pylist())
+                row = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in codes]))
+                code = pa.array(np.concatenate(codes).view(np.int64))
+                arrays = [code, batch.column(0).take(row), pa.array(bits.view(np.int64)).take(row), *[batch.column(k).take(row) for k in keep]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["code", "word", "bits", *keep])
 
-def _bit(c: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    return words.filter("word is not null").select("word", *keep).mapInArrow(run, f"code bigint, word string, bits bigint{types}")
 
 
 def near_words(words: DataFrame, left: str, right: str, max_edits: int = MAX_EDITS) -> DataFrame:
@@ -48,11 +100,12 @@ def near_words(words: DataFrame, left: str, right: str, max_edits: int = MAX_EDI
     """
     if not 1 <= max_edits <= MAX_EDITS:
         raise ValueError(f"max_edits must be 1..{MAX_EDITS}")
-    coded = words.select("word", left, right, fingerprint(F.col("word")).alias("bits"), F.explode(code_blocks(F.col("word"))).alias("code"))
+    coded = coded_words(words, left, right)
     a = coded.filter(F.col(left)).select("code", "word", F.col("bits").alias("bits_a"))
     b = coded.filter(F.col(right)).select("code", F.col("word").alias("other"), F.col("bits").alias("bits_b"))
     close = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 2 * max_edits
     near = F.abs(F.length("word") - F.length("other")) <= max_edits
-    met = a.join(b, "code").filter((F.col("word") != F.col("other")) & near & close)
-    edits = F.levenshtein("word", "other", max_edits)
-    return met.withColumn("edits", edits).filter("edits > 0").select("word", "other", "edits").distinct()
+    met = skew_join(b, a, ["code"]).filter((F.col("word") != F.col("other")) & near & close)
+    # a pair may share several codes
+    once = met.select("word", "other").distinct()
+    return once.withColumn("edits", F.levenshtein("word", "other", max_edits)).filter("edits > 0").select("word", "other", "edits")
