@@ -11,7 +11,7 @@ from edgewright.llm.encode import encode_texts, token_counts
 from edgewright.llm.history import batch_duplicates
 from edgewright.llm.merkle import collapse_triples, copies
 from edgewright.llm.packing import fill_report, pack_documents
-from edgewright.llm.subjects import document_subjects, subject_composition
+from edgewright.llm.subjects import document_subjects, leaf_terms, subject_composition
 from edgewright.llm.terms import triple_terms
 from edgewright.sources.tables import table
 
@@ -70,6 +70,10 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return subject_composition(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
 
 
+def p9_leaves(spark: SparkSession, d: str) -> DataFrame:
+    return leaf_terms(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
+    "p9_leaves": p9_leaves,
 }
 
 

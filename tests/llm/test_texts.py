@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from edgewright.llm.encode import FragmentEncoder, encode_texts, token_counts
 from edgewright.llm.packing import best_fit, fill_report, pack, pack_documents, plan_containers, reduce_dominated
 from edgewright.llm.prose import sentence_starts, sentences
-from edgewright.llm.subjects import document_subjects, fit_subjects, label_shares, sentence_shares
+from edgewright.llm.subjects import SubjectParams, _fit, document_subjects, fit_subjects, label_shares, leaf_terms, sentence_shares
 
 ENCODER = FragmentEncoder()
 PLAIN = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
@@ -170,9 +170,25 @@ def test_subjects_of_held_out_documents(spark):
         truth[r.doc_id].add(r.subject_id)
     for r in sentence_shares(docs.filter("doc_id % 2 = 1"), model).filter("n_about * 5 >= n_sentences").collect():
         found[r.doc_id].add(r.subject_id)
-    hit = sum(len(found[k] & t) for k, t in truth.items())
-    precision, recall = hit / sum(len(found[k]) for k in truth), hit / sum(len(t - {0}) for t in truth.values())
-    assert precision > 0.85 and recall > 0.85
+    lang = {r.doc_id: (r.lang or "").lower() for r in docs.select("doc_id", "lang").collect()}
+    # hand labels err in about one of twenty cases; German and Spanish have some 80 labelled documents to learn from here
+    for which, least in (("en", 0.93), ("de", 0.8), ("es", 0.8), (None, 0.92)):
+        own = [k for k in truth if which in (None, lang[k])]
+        hit = sum(len(found[k] & truth[k]) for k in own)
+        precision, recall = hit / sum(len(found[k]) for k in own), hit / sum(len(truth[k] - {0}) for k in own)
+        print(which, round(precision, 3), round(recall, 3))
+        assert precision > least and recall > least
+
+
+def test_every_document_has_a_leaf_of_its_language_and_terms(spark, small):
+    docs, labels, subjects = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "subject_labels", "subjects"))
+    params = SubjectParams(leaves=8)
+    model, placed = _fit(docs, labels, params)
+    prose = {r.doc_id for r in docs.filter("text is not null").collect() if sentences(r.text, starts=model.starts)}
+    assert {r.doc_id for r in placed.collect()} == prose
+    told = leaf_terms(docs, labels, subjects, params).collect()
+    assert sum(r.n_docs for r in told) == placed.count() and all(r.terms for r in told)
+    assert all(0 < r.subject_share <= 1 for r in told)
 
 
 def test_subjects_without_texts_or_labels(spark, small):
