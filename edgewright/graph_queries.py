@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgewright.graph_oracles import hub_sql, more_sql
 from edgewright.functions.text import clean_text, combinations_of, content_hash, split_camel
 from edgewright.operators import generators as gen
 from edgewright.operators import labels as lb
@@ -85,8 +86,7 @@ def edge_pairs(g: sg.Graphs) -> DataFrame:
 # flagship -------------------------------------------------------------------------------------
 @_query(
     "supply_pair_features",
-    """WITH o AS (SELECT CAST(c_nationkey AS BIGINT) AS graph_id, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01'),
+    """WITH o AS (SELECT CAST((year(o_orderdate) * 12 + month(o_orderdate)) * 100 + c_nationkey AS BIGINT) AS graph_id, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey),
 l AS (SELECT DISTINCT graph_id, l_orderkey, l_suppkey FROM o JOIN lineitem ON l_orderkey = o_orderkey),
 e AS (SELECT DISTINCT a.graph_id, a.l_suppkey AS src, b.l_suppkey AS dst FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.graph_id = b.graph_id AND a.l_suppkey <> b.l_suppkey),
 od AS (SELECT graph_id, src, count(*) AS d FROM e GROUP BY ALL),
@@ -183,7 +183,7 @@ FROM e JOIN od a ON e.graph_id = a.graph_id AND e.src = a.node JOIN od b ON e.gr
 LEFT JOIN (e k JOIN e l ON k.graph_id = l.graph_id AND k.dst = l.src) ON k.graph_id = e.graph_id AND k.src = e.src AND l.dst = e.dst
 LEFT JOIN od o ON o.graph_id = k.graph_id AND o.node = k.dst WHERE e.src < e.dst GROUP BY e.graph_id, e.src, e.dst, a.d, b.d""",
 )(lambda g: pf.on_demand(edge_pairs(g).filter("i < j"), g))
-_on("D", "six_vector")(lambda g: pf.six_vector(edge_pairs(g), g))
+_on("D", "six_vector")(lambda g: pf.six_vector(edge_pairs(g), g).select("graph_id", "i", "j", *[F.col("features")[k].alias(f"f{k}") for k in range(6)], *[F.col("reversed")[k].alias(f"r{k}") for k in range(2)]))
 _on(
     "D",
     "deg_pair",
@@ -404,7 +404,7 @@ _query(
     "bce_loss",
     f"WITH {_PRED}, w AS (SELECT least(1e3, greatest(1e-3, (count(*) - sum(y)) / sum(y))) AS w FROM pred), x AS (SELECT prob * 6 - 3 AS x, y FROM pred) SELECT round(avg(w * y * (greatest(-x, 0) + ln(1 + exp(-abs(x)))) + (1 - y) * (greatest(x, 0) + ln(1 + exp(-abs(x))))), 6) AS loss FROM x, w",
 )(lambda s, d: no.bce_with_logits(predictions(s, d).withColumn("x", F.col("prob") * 6 - 3), "x", "y", no.positive_weight(predictions(s, d), "y")))
-_query("cross_entropy")(lambda s, d: no.cross_entropy(table(s, d, "embeddings").select(F.slice("embedding", 1, 10).cast("array<double>").alias("z"), "label"), "z", "label"))
+_query("cross_entropy")(lambda s, d: no.cross_entropy(table(s, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("z"), "label"), "z", "label"))
 
 # metrics ------------------------------------------------------------------------------------------
 _SWEEP = f"""{_PRED}, b AS (SELECT prob AS thr, sum(y) AS p, count(*) - sum(y) AS q FROM pred GROUP BY prob),
@@ -429,7 +429,7 @@ _query(
 z AS (SELECT *, CASE WHEN q > 0 THEN tp / CAST(q AS DOUBLE) ELSE 0 END AS p, CASE WHEN t > 0 THEN tp / CAST(t AS DOUBLE) ELSE 0 END AS r FROM k)
 SELECT round(sum(tp) / CAST(sum(t) AS DOUBLE), 6) AS accuracy, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1, round(avg(r) FILTER (t > 0), 6) AS bacc FROM z""",
 )(lambda s, d: mt.macro_metrics(table(s, d, "events").select((F.col("event_id") * 17 % 5).cast("int").alias("y"), (F.col("event_id") * 17 % 4).cast("int").alias("pred"))))
-_query("one_vs_rest")(lambda s, d: mt.one_vs_rest(table(s, d, "embeddings").select(no.softmax(F.slice("embedding", 1, 10).cast("array<double>")).alias("probs"), F.col("label").alias("y")), list(range(10))))
+_query("one_vs_rest")(lambda s, d: mt.one_vs_rest(table(s, d, "embeddings").select(no.softmax(F.col("embedding").cast("array<double>")).alias("probs"), F.col("label").alias("y")), list(range(10))))
 _query(
     "noisy_report",
     f"""WITH {_PRED}, t AS (SELECT id, 1 - prob AS p, y FROM pred), r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM t), k AS (SELECT sum(y) AS k FROM t),
@@ -508,7 +508,8 @@ _query("retweet_out_degree", "WITH k AS (SELECT DISTINCT u, v FROM higgs_retweet
 @_query("context_features")
 def context_features(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "triples_clean").filter("h is not null and r is not null and t is not null")
-    return tr.context_features(rows.select("triple_id", "h", "r", "t", F.array(F.length("h").cast("double"), F.length("t").cast("double")).alias("vec")))
+    own = tr.context_features(rows.select("triple_id", "h", "r", "t", F.array(F.length("h").cast("double"), F.length("t").cast("double")).alias("vec")))
+    return own.select("triple_id", *[F.col("features")[k].alias(f"f{k}") for k in range(8)])
 
 
 _query("triple_tile_nodes")(lambda s, d: tr.triple_tiles(table(s, d, "triples_clean"), 4)[0])
@@ -516,8 +517,8 @@ _query("triple_tile_edges")(lambda s, d: tr.triple_tiles(table(s, d, "triples_cl
 _query("candidate_projection", "SELECT triple_id, list_value(length(h), length(r), length(t)) AS phi FROM triples_clean WHERE h IS NOT NULL AND r IS NOT NULL AND t IS NOT NULL")(
     lambda s, d: table(s, d, "triples_clean").filter("h is not null and r is not null and t is not null").select("triple_id", F.concat(F.array(F.length("h")), F.array(F.length("r")), F.array(F.length("t"))).cast("array<bigint>").alias("phi"))
 )
-_query("softmax", "WITH k AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(CAST(x AS DOUBLE))) AS e FROM embeddings) SELECT vec_id, round(e[1] / list_sum(e), 6) AS p0, round(e[4] / list_sum(e), 6) AS p3 FROM k")(
-    lambda s, d: table(s, d, "embeddings").select("vec_id", no.softmax(F.slice("embedding", 1, 4).cast("array<double>")).alias("p")).select("vec_id", F.col("p")[0].alias("p0"), F.col("p")[3].alias("p3"))
+_query("softmax", "WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE))) AS e FROM embeddings) SELECT vec_id, round(e[1] / list_sum(e), 6) AS p0, round(e[4] / list_sum(e), 6) AS p3 FROM k")(
+    lambda s, d: table(s, d, "embeddings").select("vec_id", no.softmax(F.col("embedding").cast("array<double>")).alias("p")).select("vec_id", F.col("p")[0].alias("p0"), F.col("p")[3].alias("p3"))
 )
 _query("expand_classes", "SELECT event_id, cls, CASE WHEN cls = event_id % 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS prob FROM events, (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS cls)")(
     lambda s, d: mt.expand_classes(table(s, d, "events").select("event_id", (F.col("event_id") % 3).cast("int").alias("cls"), F.lit(1.0).alias("prob")), [0, 1, 2, 3], ["event_id"])
@@ -551,3 +552,29 @@ def _task(name: str, directed: bool) -> Query:
 
 for _name, _directed in (("symmetric-closure", True), ("transitive-closure", True), ("shortcut-elimination", True), ("feedback-edge-set", False), ("spanning-tree", False)):
     _query("task_" + _name.replace("-", "_"))(_task(_name, _directed))
+
+
+# the same structure over single graphs with hubs ----------------------------------------------------
+def _whole(kind: str) -> Callable[[SparkSession, str], sg.Graphs]:
+    """The friend graph, or the retweet graph without directions, as one undirected graph."""
+
+    def load(spark: SparkSession, d: str) -> sg.Graphs:
+        g = sg.friend_graph(spark, d) if kind == "friend" else sg.retweet_graph(spark, d)
+        edges = sg.doubled(g.edges.select("graph_id", "src", "dst").filter("src <> dst")).distinct()
+        return sg.Graphs(g.nodes, edges, False)
+
+    return load
+
+
+for _kind, _table in (("friend", "facebook_combined"), ("retweet", "higgs_retweet_network")):
+    _load = _whole(_kind)
+    for _name, _operator in {
+        "triangles": lambda g: nf.triangles(g).filter("triangles > 0").select("node", "triangles"),
+        "edge_overlaps": lambda g: pf.edge_overlaps(g).drop("graph_id"),
+        "components": lambda g: lb.components(g).join(g.edges.select("graph_id", F.col("src").alias("node")).distinct(), ["graph_id", "node"], "left_semi").select("node", "component"),
+    }.items():
+        _query(f"{_kind}_{_name}", hub_sql(_table)[_name])(lambda s, d, load=_load, operator=_operator: operator(load(s, d)))
+_query("friend_twohop", hub_sql("facebook_combined")["twohop"])(lambda s, d: nf.twohop(_whole("friend")(s, d)).filter("twohop > 0").select("node", "twohop"))
+_query("friend_common_neighbours", hub_sql("facebook_combined")["common_neighbours"])(lambda s, d: pf.common_neighbours(_whole("friend")(s, d)).drop("graph_id"))
+
+SQL.update(more_sql(_U, _D, _PRED))

@@ -43,11 +43,11 @@ def components(g: Graphs, whole_graph: int = WHOLE_GRAPH) -> DataFrame:
             return labels
 
 
-def _components_of(ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
+def _components_of(ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]:
     sets = _Union(len(ids))
     for i, j in zip(src.tolist(), dst.tolist()):
         sets.join(i, j)
-    return pd.DataFrame({"node": ids, "component": ids[[sets.root(i) for i in range(len(ids))]]})
+    return {"node": ids, "component": ids[[sets.root(i) for i in range(len(ids))]]}
 
 
 def largest_component(g: Graphs, whole_graph: int = WHOLE_GRAPH) -> DataFrame:
@@ -130,12 +130,13 @@ class _Union:
 def feedback_edges(g: Graphs) -> DataFrame:
     """``src`` < ``dst`` outside the spanning forest that takes edges in lexicographic order: m - n + c of them."""
 
-    def work(ids: np.ndarray, a: np.ndarray) -> pd.DataFrame:
-        sets, pairs = _Union(len(ids)), np.argwhere(np.triu(a))
-        left = [(i, j) for i, j in pairs if not sets.join(i, j)]
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in left], columns=["src", "dst"], dtype="int64")
+    def work(ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]:
+        sets = _Union(len(ids))
+        pairs = np.unique(np.stack([np.minimum(src, dst), np.maximum(src, dst)], axis=1), axis=0)
+        left = [k for k, (i, j) in enumerate(pairs.tolist()) if not sets.join(i, j)]
+        return {"src": ids[pairs[left, 0]], "dst": ids[pairs[left, 1]]}
 
-    return per_graph(g, work, "graph_id bigint, src bigint, dst bigint")
+    return per_edge_list(g, work, "graph_id bigint, src bigint, dst bigint")
 
 
 def bfs_tree(g: Graphs, whole_graph: int = WHOLE_GRAPH) -> DataFrame:
@@ -164,12 +165,12 @@ def bfs_tree(g: Graphs, whole_graph: int = WHOLE_GRAPH) -> DataFrame:
         found = found.unionByName(front)
 
 
-def _tree_of(ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
+def _tree_of(ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]:
     near: list[set[int]] = [set() for _ in ids]
     for i, j in zip(src.tolist(), dst.tolist()):
         near[i].add(j)
         near[j].add(i)
-    labels = _components_of(ids, src, dst)["component"].to_numpy()
+    labels = _components_of(ids, src, dst)["component"]
     names, sizes = np.unique(labels, return_counts=True)
     root = int(np.searchsorted(ids, names[sizes.argmax()]))
     parent, depth, queue = {root: -1}, {root: 0}, [root]
@@ -179,8 +180,8 @@ def _tree_of(ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
                 parent[w], depth[w] = v, depth[v] + 1
                 queue.append(w)
     nodes = np.array(queue)
-    up = pd.array([None if parent[v] < 0 else int(ids[parent[v]]) for v in queue], dtype="Int64")
-    return pd.DataFrame({"node": ids[nodes], "parent": up, "depth": np.array([depth[v] for v in queue], np.int32)})
+    up = np.array([parent[v] for v in queue])
+    return {"node": ids[nodes], "parent": np.ma.masked_array(ids[up], up < 0), "depth": np.array([depth[v] for v in queue], np.int32)}
 
 
 def bounded_neighbourhood(g: Graphs, seeds: DataFrame, budget: int) -> DataFrame:
@@ -236,7 +237,7 @@ def modularity(g: Graphs, community: DataFrame) -> DataFrame:
     inside = intra_community(g, community).groupBy("graph_id").agg(F.sum("y").alias("within"), F.count("*").alias("m2"))
     deg = g.edges.groupBy("graph_id", F.col("src").alias("node")).agg(F.count("*").alias("d")).join(community, NODE)
     sums = deg.groupBy("graph_id", "community").agg(F.sum("d").alias("d")).groupBy("graph_id").agg(F.sum(F.col("d") * F.col("d")).alias("dd"))
-    return inside.join(sums, "graph_id").select("graph_id", (F.col("within") / F.col("m2") - F.col("dd") / (F.col("m2") * F.col("m2"))).alias("modularity"))
+    return inside.join(sums, "graph_id").select("graph_id", ((F.col("within") * F.col("m2") - F.col("dd")) / (F.col("m2") * F.col("m2"))).alias("modularity"))
 
 
 def _elimination_order(a: np.ndarray) -> list[int]:

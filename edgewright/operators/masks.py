@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.functions.order import hash_order
-from edgewright.plans.numbering import WINDOW_ROWS, number_rows, rank_within
+from edgewright.plans.numbering import WINDOW_ROWS, number_rows, rank_within, running_sums
 from edgewright.plans.scratch import stash
 from edgewright.sources.graphs import Graphs
 
@@ -136,12 +136,16 @@ def capped_sample(pairs: DataFrame, label: str, order: list[str], cap: int, rati
     rows form one reservoir of ``cap``.
     """
     placed = pairs.withColumn("__h", hash_order(seed, *order))
+
+    def first(rows: DataFrame, n: int) -> DataFrame:
+        # by exact numbers over sorted ranges: the cap may be larger than a task
+        return number_rows(rows, ["__h", *order], "__k").filter(F.col("__k") < n).drop("__k")
+
     if not ratio or ratio <= 0:
-        return placed.orderBy("__h", *order).limit(cap).drop("__h")
-    positives = placed.filter(F.col(label) == 1).orderBy("__h", *order).limit(max(1, int(cap / (1 + ratio))))
+        return first(placed, cap).drop("__h")
+    positives = first(placed.filter(F.col(label) == 1), max(1, int(cap / (1 + ratio))))
     n = positives.count()
-    negatives = placed.filter(F.col(label) == 0).orderBy("__h", *order).limit(max(1, int(n * ratio)) if n else cap)
-    return positives.unionByName(negatives).drop("__h")
+    return positives.unionByName(first(placed.filter(F.col(label) == 0), max(1, int(n * ratio)) if n else cap)).drop("__h")
 
 
 def balance(pairs: DataFrame, label: str, order: list[str], ratio: float, seed: int = 0) -> DataFrame:
@@ -180,21 +184,39 @@ def negative_pairs(g: Graphs, per_edge: float, seed: int = 0, window_rows: int =
 
 
 def candidate_non_edges(g: Graphs, limit: int, seed: int = 0) -> DataFrame:
-    """Up to ``limit`` pairs i < j of each graph that are no edges, in hash order."""
+    """Up to ``limit`` pairs i < j of each graph that are no edges, in hash order.
+
+    Pairs are made source by source, and each source keeps its first ``limit`` at once, so what is
+    shuffled and ranked per graph is nodes x limit rows and no grid.
+    """
     free = all_cells(g).filter("i < j").join(cells_of(g.edges), PAIR, "left_anti")
-    ranked = free.withColumn("__r", F.row_number().over(Window.partitionBy("graph_id").orderBy(hash_order(seed, "graph_id", "i", "j"), "i", "j")))
+    key = F.struct(hash_order(seed, "graph_id", "i", "j").alias("h"), "i", "j")
+    own = Window.partitionBy("graph_id", "i").orderBy("h", "j")
+    kept = free.select(*PAIR, key["h"].alias("h")).withColumn("__r", F.row_number().over(own)).filter(F.col("__r") <= limit)
+    ranked = kept.withColumn("__r", F.row_number().over(Window.partitionBy("graph_id").orderBy("h", "i", "j")))
     return ranked.filter(F.col("__r") <= limit).select(*PAIR)
 
 
-def top_k(rows: DataFrame, per: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first ``k`` rows of each group in the given (total) order."""
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).filter(F.col("__r") <= k).drop("__r")
+def top_k(rows: DataFrame, per: list[str], order: list[Column], k: int, slices: int = 64) -> DataFrame:
+    """The first ``k`` rows of each group in the given (total) order.
+
+    Each of ``slices`` parts of a group keeps its own first ``k`` before the group is ranked, so no task ranks more
+    than ``slices`` * ``k`` rows of a group, however many it has.
+    """
+    parted = rows.withColumn("__s", F.pmod(F.xxhash64(*rows.columns), F.lit(slices)))
+    early = parted.withColumn("__r", F.row_number().over(Window.partitionBy(*per, "__s").orderBy(*order))).filter(F.col("__r") <= k).drop("__s")
+    return early.withColumn("__r", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).filter(F.col("__r") <= k).drop("__r")
 
 
 def prefix_offsets(counts: DataFrame, per: list[str], order: str, n: str) -> DataFrame:
-    """``offset``: sum of ``n`` over the rows before, in each group."""
-    before = Window.partitionBy(*per).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("offset", F.coalesce(F.sum(n).over(before), F.lit(0)))
+    """``offset``: sum of ``n`` over the rows before, in each group.
+
+    One running sum over all groups by sorted ranges, less what stands before each group: a group of any size is spread.
+    """
+    summed = running_sums(counts, [*[F.col(c) for c in per], F.col(order)], {"__upto": n})
+    own = F.coalesce(F.col(n), F.lit(0))
+    first = summed.groupBy(*per).agg(F.min(F.col("__upto") - own).alias("__first"))
+    return summed.join(first, per).withColumn("offset", F.col("__upto") - own - F.col("__first")).drop("__upto", "__first")
 
 
 def shards(items: DataFrame, order: str, n: int) -> DataFrame:

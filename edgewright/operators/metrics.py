@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgewright.plans.numbering import running_sums
+from edgewright.plans.numbering import number_rows, running_sums
+from edgewright.plans.scratch import stash
 
 NAN = float("nan")
 
@@ -75,14 +76,26 @@ def average_precision(scored: DataFrame, prob: str = "prob", label: str = "y") -
     return sums.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("a") / F.nullif(F.col("pos"), F.lit(0))).otherwise(NAN).alias("auprc"))
 
 
+def areas(scored: DataFrame, group: str, prob: str = "prob", label: str = "y") -> DataFrame:
+    """``auroc`` and ``auprc`` (NaN unless both classes occur) of each ``group``, from one ordered pass over all of them."""
+    by = scored.groupBy(F.col(group).alias("g"), F.col(prob).alias("thr")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n"))
+    summed = stash(running_sums(by, [F.col("g"), F.desc("thr")], {"tp": "p", "fp": "n"}), "areas")
+    # a group's own sums are those of all rows up to it less those before it: one row a group
+    totals = summed.groupBy("g").agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), F.min(F.col("tp") - F.col("p")).alias("tp0"), F.min(F.col("fp") - F.col("n")).alias("fp0"))
+    held = summed.join(totals, "g").withColumns({"tp": F.col("tp") - F.col("tp0"), "fp": F.col("fp") - F.col("fp0")})
+    under = F.sum(F.col("n") * (2 * F.col("tp") - F.col("p")) / 2).alias("under")
+    gain = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("gain")
+    sums = held.groupBy("g").agg(under, gain, F.max("pos").alias("pos"), F.max("neg").alias("neg"))
+    both = (F.col("pos") > 0) & (F.col("neg") > 0)
+    roc = F.when(both, F.col("under") / F.nullif(F.col("pos") * F.col("neg"), F.lit(0))).otherwise(NAN)
+    return sums.select(F.col("g").alias(group), roc.alias("auroc"), F.when(both, F.col("gain") / F.nullif(F.col("pos"), F.lit(0))).otherwise(NAN).alias("auprc"))
+
+
 def binary_report(scored: DataFrame, thr: float, prob: str = "prob", label: str = "y") -> DataFrame:
     """All binary metrics in one row."""
-    one = F.lit(1).alias("__k")
-    parts = [confusion_metrics(scored, thr, prob, label), auroc(scored, prob, label), average_precision(scored, prob, label)]
-    out = parts[0].select("*", one)
-    for part in parts[1:]:
-        out = out.join(part.select("*", one), "__k")
-    return out.drop("__k")
+    curves = areas(scored.withColumn("__k", F.lit(1)), "__k", prob, label)
+    out = confusion_metrics(scored, thr, prob, label).withColumn("__k", F.lit(1)).join(curves, "__k", "left")
+    return out.fillna(NAN, ["auroc", "auprc"]).drop("__k")
 
 
 def macro_metrics(scored: DataFrame, predicted: str = "pred", label: str = "y") -> DataFrame:
@@ -103,12 +116,10 @@ def macro_metrics(scored: DataFrame, predicted: str = "pred", label: str = "y")
 
 def one_vs_rest(scored: DataFrame, classes: list[int], probs: str = "probs", label: str = "y") -> DataFrame:
     """``auroc``, ``auprc``: means of the one-versus-rest values over the classes that have both sides."""
-    out = None
-    for c in classes:
-        own = scored.select(F.element_at(probs, c + 1).alias("prob"), (F.col(label) == c).cast("int").alias("y"))
-        one = auroc(own).select("auroc", F.lit(c).alias("c")).join(average_precision(own).select("auprc", F.lit(c).alias("c")), "c")
-        out = one if out is None else out.unionByName(one)
-    sound = out.filter(~F.isnan("auroc"))
+    each = scored.select(F.col(label).alias("__y"), F.posexplode(F.array(*[F.element_at(probs, c + 1) for c in classes])).alias("__c", "prob"))
+    wanted = F.element_at(F.array(*map(F.lit, classes)), F.col("__c") + 1)
+    own = areas(each.select("__c", "prob", (F.col("__y") == wanted).cast("int").alias("y")), "__c")
+    sound = own.filter(~F.isnan("auroc"))
     return sound.agg(F.coalesce(F.avg("auroc"), F.lit(NAN)).alias("auroc"), F.coalesce(F.avg("auprc"), F.lit(NAN)).alias("auprc"))
 
 
@@ -116,7 +127,8 @@ def noisy_report(scored: DataFrame, prob: str = "prob", noisy: str = "noisy", or
     """``auc`` that a noisy triple looks less likely than a clean one, and ``recall_at_k`` with k = number of noisy ones."""
     turned = scored.select((1 - F.col(prob)).alias("prob"), F.col(noisy).cast("int").alias("y"), F.col(order).alias("id"))
     k = turned.agg(F.sum("y")).first()[0] or 0
-    top = turned.orderBy(F.desc("prob"), "id").limit(max(1, int(k))).agg(F.sum("y").alias("hits"))
+    # numbered by ranges, so that however many noisy rows there are none are gathered in one task
+    top = number_rows(turned.select((-F.col("prob")).alias("o"), "id", "y"), ["o", "id"], "k").filter(F.col("k") < max(1, int(k))).agg(F.sum("y").alias("hits"))
     recall = top.select((F.coalesce("hits", F.lit(0)) / F.lit(max(1, int(k)))).alias("recall_at_k"), F.lit(1).alias("__k"))
     return auroc(turned).select(F.col("auroc").alias("auc"), F.lit(1).alias("__k")).join(recall, "__k").drop("__k")
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgewright.plans.scratch import stash
 from edgewright.sources.graphs import Graphs
 
 NODE = ["graph_id", "node"]
@@ -38,16 +40,32 @@ def _closed_walks(g: Graphs) -> DataFrame:
     return a.join(b, ["graph_id", "x"]).join(c, ["graph_id", "y", "node"]).groupBy(*NODE).agg(F.count("*").alias("walks"))
 
 
+def triangle_list(g: Graphs) -> DataFrame:
+    """``a``, ``b``, ``c`` of every triangle of undirected graphs, once.
+
+    Each edge points from its end of lower degree to that of higher, so no node, however many
+    neighbours it has, points at more than sqrt(2 * edges) others, and wedges are made of what a node points at.
+    """
+    half = g.edges.select("graph_id", "src", "dst").filter("src <> dst").distinct()
+    deg = half.groupBy("graph_id", "src").agg(F.count("*").alias("d"))
+    ranked = half.filter("src < dst").join(deg, ["graph_id", "src"]).join(deg.select("graph_id", F.col("src").alias("dst"), F.col("d").alias("e")), ["graph_id", "dst"])
+    ahead = F.col("d") <= F.col("e")
+    low, high = F.when(ahead, F.col("src")).otherwise(F.col("dst")), F.when(ahead, F.col("dst")).otherwise(F.col("src"))
+    points = stash(ranked.select("graph_id", low.alias("a"), high.alias("b"), F.greatest("d", "e").alias("d")), "points")
+    one = points.select("graph_id", "a", "b", F.col("d").alias("d_b"))
+    two = points.select("graph_id", "a", F.col("b").alias("c"), F.col("d").alias("d_c"))
+    # of two ends the one of lower degree (of equal ones the smaller id) points at the other
+    wedge = one.join(two, ["graph_id", "a"]).filter((F.col("d_b") < F.col("d_c")) | ((F.col("d_b") == F.col("d_c")) & (F.col("b") < F.col("c"))))
+    closing = points.select("graph_id", F.col("a").alias("b"), F.col("b").alias("c"))
+    return wedge.join(closing, ["graph_id", "b", "c"], "left_semi").select("graph_id", "a", "b", "c")
+
+
 def triangles(g: Graphs) -> DataFrame:
-    """Closed three-step walks, halved if undirected (only the wedge x < y is made there)."""
+    """Closed three-step walks, halved if undirected."""
     if g.directed:
         return _per_node(g.nodes, _closed_walks(g).withColumnRenamed("walks", "triangles"), triangles=0)
-    wedge = g.edges.select("graph_id", F.col("src").alias("node"), F.col("dst").alias("x"))
-    other = wedge.withColumnRenamed("x", "y")
-    closing = g.edges.select("graph_id", F.col("src").alias("x"), F.col("dst").alias("y")).filter("x < y")
-    open_ = wedge.join(other, NODE).filter("x < y")
-    counts = open_.join(closing, ["graph_id", "x", "y"], "left_semi").groupBy(*NODE).agg(F.count("*").alias("triangles"))
-    return _per_node(g.nodes, counts, triangles=0)
+    ends = triangle_list(g).select("graph_id", F.explode(F.array("a", "b", "c")).alias("node"))
+    return _per_node(g.nodes, ends.groupBy(*NODE).agg(F.count("*").alias("triangles")), triangles=0)
 
 
 def clustering(g: Graphs) -> DataFrame:
@@ -145,19 +163,48 @@ def per_graph(g: Graphs, work: Callable[[np.ndarray, np.ndarray], pd.DataFrame],
     return nodes.unionByName(edges).groupBy("graph_id").applyInPandas(run, schema)
 
 
-def per_edge_list(g: Graphs, work: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """``work(node ids, sources, targets)`` of each graph, ends as positions in the sorted ids; no matrix is made."""
+def per_edge_list(g: Graphs, work: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``work(node ids, sources, targets)`` of each graph, ends as positions in the sorted ids; no matrix is made.
+
+    A task goes through its graphs in one stream of sorted batches; there is no call per graph from the engine.
+    """
     nodes = g.nodes.select("graph_id", "node", F.lit(None).cast("bigint").alias("dst"))
     edges = g.edges.filter("src <> dst").select("graph_id", F.col("src").alias("node"), "dst")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(pdf["node"].to_numpy(np.int64))
-        ends = pdf[pdf["dst"].notna()]
-        out = work(ids, np.searchsorted(ids, ends["node"].to_numpy(np.int64)), np.searchsorted(ids, ends["dst"].to_numpy(np.int64)))
-        out.insert(0, "graph_id", key[0])
-        return out
-
-    return nodes.unionByName(edges).groupBy("graph_id").applyInPandas(run, schema)
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+
+    def graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Columns of whole graphs: what a batch cuts off waits for the next."""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(-1).to_numpy())
+            whole = tuple(np.concatenate(x) for x in zip(*held, part))
+            last = int(np.searchsorted(whole[0], whole[0][-1]))
+            if last:
+                yield tuple(x[:last] for x in whole)
+                held = [tuple(x[last:] for x in whole)]
+            else:
+                held.append(part)
+        if held:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for graph, node, dst in graphs(batches):
+            cuts = [0, *(np.flatnonzero(graph[1:] != graph[:-1]) + 1), len(graph)]
+            outs: list[dict[str, np.ndarray]] = []
+            for a, b in zip(cuts, cuts[1:]):
+                own, far = node[a:b], dst[a:b]
+                edge = far >= 0
+                ids = np.unique(own)
+                out = work(ids, np.searchsorted(ids, own[edge]), np.searchsorted(ids, far[edge]))
+                outs.append({"graph_id": np.full(len(out[names[1]]), graph[a]), **out})
+            arrays = [np.ma.concatenate([x[n] for x in outs]) for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array(x.data, mask=np.ma.getmaskarray(x)) for x in arrays], names=names)
+
+    # nodes are no smaller than 0, so -1 can stand for a row of a node alone
+    placed = nodes.unionByName(edges).repartition("graph_id").sortWithinPartitions("graph_id")
+    return placed.mapInArrow(run, schema)
 
 
 def largest_graph(g: Graphs) -> int:

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgewright.plans.skew import skew_join
 from edgewright.sources.graphs import Graphs
 
 PAIR = ["graph_id", "i", "j"]
@@ -60,7 +61,22 @@ def with_degrees(pairs: DataFrame, g: Graphs) -> DataFrame:
 def _wedges(g: Graphs) -> DataFrame:
     first = g.edges.select("graph_id", F.col("src").alias("i"), F.col("dst").alias("k"))
     second = g.edges.select("graph_id", F.col("src").alias("k"), F.col("dst").alias("j"))
-    return first.join(second, ["graph_id", "k"])
+    # the edges of a hub are cut into slices: its squared number of pairs spreads over tasks
+    return skew_join(first, second, ["graph_id", "k"], 20_000)
+
+
+def edge_overlaps(g: Graphs) -> DataFrame:
+    """``cn``, ``jaccard``, ``adamic_adar`` of the existing edges i < j of undirected graphs, from their triangles: no wedge at a hub is made."""
+    from edgewright.operators.node_features import triangle_list
+
+    deg = g.edges.groupBy("graph_id", F.col("src").alias("node")).agg(F.count("*").alias("d"))
+    weight = deg.select("graph_id", "node", _link_weight(F.col("d")).alias("w"))
+    faces = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("node")) for x, y, z in (("a", "b", "c"), ("a", "c", "b"), ("b", "c", "a"))])
+    sides = triangle_list(g).select("graph_id", F.explode(faces).alias("f")).select("graph_id", F.least("f.x", "f.y").alias("i"), F.greatest("f.x", "f.y").alias("j"), F.col("f.node").alias("node"))
+    sums = sides.join(weight, ["graph_id", "node"]).groupBy(*PAIR).agg(F.count("*").alias("cn"), F.sum("w").alias("adamic_adar"))
+    pairs = g.edges.filter("src < dst").select("graph_id", F.col("src").alias("i"), F.col("dst").alias("j"))
+    full = with_degrees(pairs.join(sums, PAIR, "left").fillna(0, ["cn", "adamic_adar"]), g)
+    return full.select(*PAIR, "cn", _jaccard(F.col("cn"), F.col("deg_row"), F.col("deg_col")).alias("jaccard"), "adamic_adar")
 
 
 def common_neighbours(g: Graphs) -> DataFrame:

@@ -106,11 +106,12 @@ def session_graphs(spark: SparkSession, folder: str) -> Graphs:
 
 
 def supply_graphs(spark: SparkSession, folder: str) -> Graphs:
-    """Undirected graphs by nation: suppliers joined where they delivered parts of one urgent order of 1995."""
-    orders = table(spark, folder, "orders").filter("o_orderpriority = '1-URGENT' and o_orderdate >= '1995-01-01' and o_orderdate < '1996-01-01'")
-    customers = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("graph_id"))
+    """Undirected graphs by nation and month: suppliers joined where they delivered parts of one order."""
+    month = ((F.year("o_orderdate") * 12 + F.month("o_orderdate")) * 100).cast("bigint")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", month.alias("month"))
+    customers = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("nation"))
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    own = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("graph_id", F.col("o_orderkey").alias("l_orderkey"))
+    own = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select((F.col("month") + F.col("nation")).alias("graph_id"), F.col("o_orderkey").alias("l_orderkey"))
     placed = own.join(lines, "l_orderkey")
     both = placed.select("l_orderkey", "graph_id", F.col("l_suppkey").alias("src")).join(placed.select("l_orderkey", F.col("l_suppkey").alias("dst")), "l_orderkey")
     edges = both.filter("src <> dst").select("graph_id", "src", "dst").distinct()

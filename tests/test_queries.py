@@ -23,7 +23,8 @@ def test_same_as_sql(spark, small, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, small, name):
-    assert QUERIES[name](spark, small).count() >= 0
+    df = QUERIES[name](spark, small)
+    assert df.columns and df.count() > 0
 
 
 def test_entry(spark):
