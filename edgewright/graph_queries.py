@@ -550,10 +550,36 @@ def _task(name: str, directed: bool) -> Query:
     return query
 
 
-for _name, _directed in (("symmetric-closure", True), ("transitive-closure", True), ("shortcut-elimination", True), ("feedback-edge-set", False), ("spanning-tree", False)):
+for _name, _directed in (("symmetric-closure", True), ("transitive-closure", True), ("shortcut-elimination", True), ("feedback-edge-set", False), ("spanning-tree", False), ("estimated-chordal-completion", False)):
     _query("task_" + _name.replace("-", "_"))(_task(_name, _directed))
 
 
+def _workload(name: str) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        from edgewright.plans.models import METRICS, RunConfig, run_task
+        from edgewright.plans.workloads import WORKLOADS
+
+        own = WORKLOADS[name]
+        rows, channels = own.build(spark, d)
+        bundle = run_task(rows, channels, mk.PAIR, RunConfig(models=("rf",), trees=20, max_depth=6, threshold_by=own.threshold_by, ratio=own.ratio))
+        out = [(m, split, metric, float(r[split][metric])) for m, r in bundle.results.items() for split in ("val", "test") for metric in METRICS]
+        return spark.createDataFrame(out, "model string, split string, metric string, value double")
+
+    return query
+
+
+for _name in ("shape-completion", "true-minimum-fill", "algebraic-connectivity", "retweet", "intra-community"):
+    _query("task_" + _name.replace("-", "_"))(_workload(_name))
+
+
+@_query("task_denoising")
+def task_denoising(spark: SparkSession, d: str) -> DataFrame:
+    from edgewright.plans.models import RunConfig
+    from edgewright.plans.workloads import denoising_report
+
+    return denoising_report(spark, d, RunConfig(trees=20, max_depth=6))
+
+
 # the same structure over single graphs with hubs ----------------------------------------------------
 def _whole(kind: str) -> Callable[[SparkSession, str], sg.Graphs]:
     """The friend graph, or the retweet graph without directions, as one undirected graph."""

@@ -12,6 +12,7 @@ from edgewright.operators import labels as lb
 from edgewright.operators.masks import PAIR, effective_mask, existing_only, mask_policy, ratio_split
 from edgewright.operators.pair_features import Redaction, feature_keys, stack
 from edgewright.operators.transforms import orient_dag
+from edgewright.plans.workloads import connected
 from edgewright.sources.graphs import Graphs
 
 
@@ -57,7 +58,7 @@ TASKS = {
             features=("powers", "deg_row", "deg_col", "triangles", "clustering_coeff", "transpose"),
         ),
         Task(
-            "shortcut-elimination", True, lambda g: _pairs(lb.shortcut_edges(g)), existing=True, dag=True,
+            "shortcut-elimination", True, lambda g: _pairs(lb.shortcut_edges(g)), existing=True, dag=True, connected=True,
             features=("power_3", "power_4", "power_5", "degree", "deg_row", "deg_col", "deg_diff", "triangles", "clustering_coeff"),
         ),
         Task(
@@ -65,7 +66,7 @@ TASKS = {
             features=("powers", "degree", "endpoint_degree", "triangles", "clustering_coeff", "jaccard", "adamic_adar"),
         ),
         Task(
-            "spanning-tree", False, _tree_pairs, policy="edges", existing=True, connected=True, adj=False,
+            "spanning-tree", False, _tree_pairs, policy="edges", existing=True, connected=True, adj=False, threshold_by="bacc", redaction="adj_only",
             features=("powers", "degree", "deg_diff", "triangles", "clustering_coeff", "cn", "jaccard", "adamic_adar"),
         ),
         Task(
@@ -81,7 +82,7 @@ def task_rows(task: Task, g: Graphs, seed: int = 0) -> tuple[DataFrame, list[str
     if task.dag:
         g = Graphs(g.nodes, orient_dag(g.edges), True)
     if task.connected:
-        g = Graphs(g.nodes, lb.stitch(g, seed), False)
+        g = connected(g, seed)
     mask = mask_policy(g, task.policy)
     # of an all-cells mask only the edges are left where just existing edges count: the grid is never made then
     pairs = effective_mask(mask_policy(g, "edges") if task.existing and task.policy == "all" else mask, g, check=False)
