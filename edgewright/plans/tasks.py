@@ -12,6 +12,7 @@ from edgewright.operators import labels as lb
 from edgewright.operators.masks import PAIR, effective_mask, existing_only, mask_policy, ratio_split
 from edgewright.operators.pair_features import Redaction, feature_keys, stack
 from edgewright.operators.transforms import orient_dag
+from edgewright.plans.scratch import stash
 from edgewright.plans.workloads import connected
 from edgewright.sources.graphs import Graphs
 
@@ -83,6 +84,8 @@ def task_rows(task: Task, g: Graphs, seed: int = 0) -> tuple[DataFrame, list[str
         g = Graphs(g.nodes, orient_dag(g.edges), True)
     if task.connected:
         g = connected(g, seed)
+    # the channels read the graphs many times over
+    g = Graphs(stash(g.nodes.select("graph_id", "node"), "nodes"), stash(g.edges.select("graph_id", "src", "dst"), "edges"), g.directed)
     mask = mask_policy(g, task.policy)
     # of an all-cells mask only the edges are left where just existing edges count: the grid is never made then
     pairs = effective_mask(mask_policy(g, "edges") if task.existing and task.policy == "all" else mask, g, check=False)
@@ -91,6 +94,7 @@ def task_rows(task: Task, g: Graphs, seed: int = 0) -> tuple[DataFrame, list[str
     keys = feature_keys(list(task.features), g.directed)
     channels = stack(pairs, g, keys, Redaction(task.redaction), mask, use_adj=task.adj)
     positive = task.label(g).select(*PAIR).distinct().withColumn("y", F.lit(1))
+    channels = stash(channels, "channels")
     rows = channels.join(positive, PAIR, "left").fillna(0, ["y"])
     split = ratio_split(g.nodes.select("graph_id").distinct(), "graph_id", task.ratios, seed)
     return rows.join(split, "graph_id"), [c for c in channels.columns if c not in PAIR]

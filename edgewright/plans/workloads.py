@@ -35,6 +35,7 @@ class Workload:
 
 
 def _stacked(pairs: DataFrame, g: Graphs, features: tuple[str, ...], policy: str = "none") -> Rows:
+    g = Graphs(stash(g.nodes.select("graph_id", "node"), "nodes"), stash(g.edges.select("graph_id", "src", "dst"), "edges"), g.directed)
     own = stack(pairs.select(*PAIR), g, feature_keys(list(features), g.directed), Redaction(policy))
     channels = [c for c in own.columns if c not in PAIR]
     return pairs.join(own, PAIR), channels
@@ -138,6 +139,7 @@ def connected(g: Graphs, seed: int = 0) -> Graphs:
     if not g.directed:
         return Graphs(g.nodes, lb.stitch(g, seed), False)
     both = Graphs(g.nodes, doubled(g.edges.select("graph_id", "src", "dst")).distinct(), False)
+    both = Graphs(stash(g.nodes.select("graph_id", "node"), "nodes"), stash(both.edges, "both"), False)
     bridges = lb.stitch(both, seed).join(both.edges, ["graph_id", "src", "dst"], "left_anti").filter("src < dst")
     return Graphs(g.nodes, g.edges.select("graph_id", "src", "dst").unionByName(bridges).distinct(), True)
 
