@@ -68,7 +68,8 @@ def code_words(words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         if n <= SHORT:
             letters = mixed[first[k] : first[k] + n]
             for gone in range(min(MAX_EDITS, n) + 1):
-                keep = np.array(list(combinations(range(n), n - gone)), np.int64).reshape(-1, n - gone)
+                kept = list(combinations(range(n), n - gone))
+                keep = np.array(kept, np.int64).reshape(len(kept), n - gone)
                 own.append(np.unique((letters[keep] * powers[: n - gone]).sum(axis=1, dtype=np.uint64) + np.uint64(0xA5A5 + n - gone)))
         codes.append(np.concatenate(own))
     return bits, codes
