@@ -116,9 +116,9 @@ def macro_metrics(scored: DataFrame, predicted: str = "pred", label: str = "y")
 
 def one_vs_rest(scored: DataFrame, classes: list[int], probs: str = "probs", label: str = "y") -> DataFrame:
     """``auroc``, ``auprc``: means of the one-versus-rest values over the classes that have both sides."""
-    each = scored.select(F.col(label).alias("__y"), F.posexplode(F.array(*[F.element_at(probs, c + 1) for c in classes])).alias("__c", "prob"))
-    wanted = F.element_at(F.array(*map(F.lit, classes)), F.col("__c") + 1)
-    own = areas(each.select("__c", "prob", (F.col("__y") == wanted).cast("int").alias("y")), "__c")
+    # the probabilities are worked out once a row, not once a class
+    each = scored.select(F.col(label).alias("__y"), F.posexplode(probs).alias("__c", "prob")).filter(F.col("__c").isin(classes))
+    own = areas(each.select("__c", "prob", (F.col("__y") == F.col("__c")).cast("int").alias("y")), "__c")
     sound = own.filter(~F.isnan("auroc"))
     return sound.agg(F.coalesce(F.avg("auroc"), F.lit(NAN)).alias("auroc"), F.coalesce(F.avg("auprc"), F.lit(NAN)).alias("auprc"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,15 @@ def sigmoid(logit: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    """Probabilities of an array of logits."""
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda s, y: s + y))
+    """Probabilities of an array of logits; largest value, exponentials and their sum are worked out once a row."""
+
+    def given(value: Column, then: Callable[[Column], Column]) -> Column:
+        # a lambda's argument is a value, where a column used twice would be computed twice
+        return F.element_at(F.transform(F.array(value), then), 1)
+
+    shifted = given(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, y: s + y)
+    return given(shifted, lambda e: given(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def argmax(values: Column) -> Column:
