@@ -8,9 +8,9 @@ each against what is usual in the term's language. A sentence is about the subje
 terms and the mixture of its document's leaf speak for most, and a document has every
 subject that enough of its sentences are about.
 
-Leaves, terms and language statistics are those of all documents; only labels come from a sample,
-of about ``max_fit_docs`` labelled documents. Terms are told apart by a hash into ``buckets``
-values, which bounds the model and drops no term.
+Leaves, terms, words that begin sentences and language statistics are those of all documents, and
+every label counts. Terms are told apart by a hash into ``buckets`` values, which bounds the
+model and drops no term.
 """
 
 from __future__ import annotations
@@ -46,7 +46,6 @@ class SubjectParams:
     """
 
     share: float = 0.2
-    max_fit_docs: int = 40_000
     buckets: int = 2**20
     leaves: int = 64
     vector_size: int = 2**13
@@ -90,22 +89,15 @@ def label_shares(labels: DataFrame) -> DataFrame:
     return some.unionByName(without)
 
 
-def _labelled(documents: DataFrame, shares: DataFrame, params: SubjectParams) -> DataFrame:
-    """``doc_id`` of about ``max_fit_docs`` labelled documents, chosen by a hash: nothing is sorted or put into one task."""
-    told = shares.select("doc_id").distinct()
-    part = int(min(1.0, params.max_fit_docs / max(1, told.count())) * 2**20)
-    return told.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < part)
-
-
 def _starts(documents: DataFrame) -> frozenset[str]:
-    """Words that, where capitalised, nearly always begin a sentence of the labelled documents."""
+    """Words that, where capitalised, nearly always begin a sentence of the documents."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame([(w, n * first, n * (not first)) for (w, first), n in sentence_starts(part["text"]).items()], columns=["word", "first", "within"])
 
     counted = documents.select("text").mapInPandas(run, "word string, first bigint, within bigint").groupBy("word").agg(F.sum("first").alias("first"), F.sum("within").alias("within"))
-    # no more words than the bounded sample holds
+    # a vocabulary, which grows far slower than the documents
     return frozenset(r["word"] for r in counted.filter("first >= 3 and first > 4 * within").select("word").collect())
 
 
@@ -197,8 +189,7 @@ def _placed(docs: DataFrame, trees: list[PipelineModel | None], params: SubjectP
 def _fit(documents: DataFrame, labels: DataFrame, params: SubjectParams) -> tuple[SubjectModel, DataFrame]:
     """(the model, all documents in their leaves)."""
     shares = stash(label_shares(labels), "shares")
-    chosen = stash(_labelled(documents, shares, params), "chosen")
-    starts = _starts(documents.filter("text is not null").join(chosen, "doc_id", "left_semi"))
+    starts = _starts(documents.filter("doc_id is not null and text is not null"))
     docs = stash(_read(documents, starts, params), "docs")
     languages, known, spoken = _term_languages(docs)
     docs = stash(_with_language(docs, languages, known, spoken), "told")
@@ -207,8 +198,8 @@ def _fit(documents: DataFrame, labels: DataFrame, params: SubjectParams) -> tupl
     with ThreadPoolExecutor(4) as side_by_side:
         trees = list(side_by_side.map(lambda no: _tree(docs.filter(F.col("tongue") == no), params) if no in present else None, range(len(languages))))
     placed = stash(_placed(docs, trees, params), "placed")
-    # labels of the sample: a few rows by language and subject, leaf and subject, and by term and subject
-    told = stash(placed.select("doc_id", "tongue", "leaf", "buckets", F.size("ends").alias("n")).join(shares.join(chosen, "doc_id"), "doc_id"), "fitted")
+    # labels: a few rows by language and subject, leaf and subject, and by term and subject
+    told = stash(placed.select("doc_id", "tongue", "leaf", "buckets", F.size("ends").alias("n")).join(shares, "doc_id"), "fitted")
     by_tongue = told.groupBy("tongue", "subject_id").agg(F.sum(F.col("share") * F.col("n")).alias("n")).toPandas()
     by_leaf = told.groupBy("leaf", "subject_id").agg(F.sum("share").alias("n")).toPandas()
     subjects = sorted({NONE, *map(int, by_tongue["subject_id"])})
@@ -265,7 +256,7 @@ def _table(rows: pd.DataFrame, by: str, over: str, names: list, across: list) ->
 
 
 def fit_subjects(documents: DataFrame, labels: DataFrame, params: SubjectParams | None = None) -> SubjectModel:
-    """Leaves of all documents and the weights of their terms; labels are those of the sample."""
+    """Leaves of all documents and the weights of their terms; every label counts."""
     return _fit(documents, labels, params or SubjectParams())[0]
 
 

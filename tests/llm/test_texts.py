@@ -7,10 +7,12 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from edgewright.llm import subjects as subjects_module
 from edgewright.llm.encode import FragmentEncoder, encode_texts, token_counts
 from edgewright.llm.packing import best_fit, fill_report, pack, pack_documents, plan_containers, reduce_dominated
 from edgewright.llm.prose import sentence_starts, sentences
@@ -197,3 +199,22 @@ def test_subjects_without_texts_or_labels(spark, small):
     assert document_subjects(odd, labels.limit(0), subjects).count() == 0
     assert document_subjects(docs.select("doc_id", "text", "lang").limit(0), labels, subjects).count() == 0
     assert document_subjects(docs.withColumn("leaf", docs.doc_id).withColumn("terms", docs.doc_id), labels, subjects).count() > 0
+
+
+def test_every_labelled_document_counts(spark):
+    # more labelled documents than a former sample of 40,000 held; the last ones alone have the second subject
+    docs = spark.range(44_000).selectExpr("id as doc_id", "if(id < 43990, 'The river runs down.', 'The market rises now.') as text", "'en' as lang")
+    labels = spark.range(44_000).selectExpr("id as doc_id", "if(id < 43990, 1, 2) as subject_id", "'a' as annotator")
+    told = []
+
+    def kept(placed, rows, *rest):
+        told.append({r[0]: r[1] for r in rows.groupBy("subject_id").agg(F.countDistinct("doc_id")).collect()})
+        return term_rows(placed, rows, *rest)
+
+    term_rows = subjects_module._term_rows
+    subjects_module._term_rows = kept
+    try:
+        fit_subjects(docs, labels, SubjectParams(leaves=2))
+    finally:
+        subjects_module._term_rows = term_rows
+    assert told == [{1: 43_990, 2: 10}]
