@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -195,3 +196,34 @@ def test_ranks_by_window_and_by_numbering_agree(spark):
     ):
         one = sorted(map(tuple, make(200_000).collect()))
         assert one and one == sorted(map(tuple, make(1).collect()))
+
+
+def test_chordal_completion_on_bit_sets():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        n = int(rng.integers(1, 13))
+        a = np.triu(rng.random((n, n)) < rng.random(), 1)
+        i, j = np.nonzero(a)
+        a = (a | a.T).astype(float)
+        plain = lb._minimal(a, lb._fill(a, lb._min_degree_order(a)))
+        got = lb.completed(np.arange(n), i, j)
+        assert list(zip(got["src"].tolist(), got["dst"].tolist())) == plain
+    # a few milliseconds a graph at most: collections have hundreds of thousands of them
+    ring = np.arange(32)
+    began = time.process_time()
+    for _ in range(100):
+        lb.completed(ring, ring, (ring + 5) % 32)
+    assert time.process_time() - began < 1.5
+
+
+def test_graphs_stay_whole_across_batches(spark):
+    e = spark.range(900).selectExpr("cast(id / 300 as bigint) as graph_id", "id as src", "id + 1 as dst").unionByName(spark.createDataFrame([(None, 5, 6), (-3, -2, -1)], "graph_id bigint, src bigint, dst bigint"))
+    nodes = e.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.graph_id: r.n for r in lb.components(Graphs(nodes, e, False)).groupBy("graph_id", "component").agg(F.count("*").alias("n")).collect()}
+        assert got == {0: 301, 1: 301, 2: 301, None: 2, -3: 2}
+        assert {r.graph_id for r in nf.algebraic_connectivity(Graphs(nodes, e, True)).collect()} == set(got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
