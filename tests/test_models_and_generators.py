@@ -188,3 +188,30 @@ def test_single_gains_equal_eigenvalues():
         want = [lb._gain(a, [x]) for x in pairs]
         assert np.allclose(lb._single_connectivities(a, pairs), want, atol=1e-9)
         assert np.allclose(lb._connectivities(a, [(x,) for x in pairs]), want, atol=1e-9)
+
+
+def test_greedy_augmentation_adds_the_best_gains(spark, small):
+    g = sg.minfill_graphs(spark, small)
+    g = sg.Graphs(g.nodes.filter("graph_id % 4 = 0"), g.edges.filter("graph_id % 4 = 0"), False)
+    scored = lb.connectivity_gains(g).withColumn("prob", F.col("gain"))
+    want = {r.graph_id: r for r in lb.apply_predictions(g, scored, 5).collect()}
+    got = lb.greedy_augmentation(g, 5).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r.lambda2_after == pytest.approx(want[r.graph_id].lambda2_after, abs=1e-9) and r.gain_percent == pytest.approx(want[r.graph_id].gain_percent, abs=1e-4)
+
+
+def test_bounds_leave_the_best_augmentation():
+    rng = np.random.default_rng(6)
+    for n, p in ((8, 0.1), (12, 0.3), (14, 0.2), (23, 0.1)):
+        a = np.triu(rng.random((n, n)) < p, 1).astype(float)
+        a += a.T
+        pairs = lb._free_pairs(a, 1000, 0)
+        sets = pairs[lb._drawn(len(pairs), 3, 120, 0)]
+        values = lb._connectivities(a, sets.tolist())
+        value, best = lb._best_drawn(a, sets)
+        assert value == pytest.approx(values.max(), abs=1e-12)
+        assert lb._connectivities(a, [best.tolist()])[0] == pytest.approx(values.max(), abs=1e-9)
+        singles = lb._single_connectivities(a, pairs)
+        after, rows = lb._beam(a, pairs, 1, 10, 0.0)
+        assert after == singles.max() and singles[rows[0]] == after
