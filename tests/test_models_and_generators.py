@@ -20,6 +20,7 @@ from edgewright.operators import triples as tr
 from edgewright.plans.cache import kept, load_features, save_features
 from edgewright.plans.models import Bundle, RunConfig, duration_text, load_checkpoint, model_names, run_task, save_checkpoint, summary
 from edgewright.plans.numbering import running_sums
+from edgewright.plans import workloads as wl
 from edgewright.plans.tasks import TASKS, task_rows
 from edgewright.sources import graphs as sg
 
@@ -215,3 +216,40 @@ def test_bounds_leave_the_best_augmentation():
         singles = lb._single_connectivities(a, pairs)
         after, rows = lb._beam(a, pairs, 1, 10, 0.0)
         assert after == singles.max() and singles[rows[0]] == after
+
+
+def same_rows(one, two, channels):
+    """Are two tables of rows the same up to roundings of the channels."""
+    rounded = lambda df: df.select("graph_id", "i", "j", "split", F.col("y").cast("int").alias("y"), *[F.round(c, 9).alias(c) for c in channels])
+    a, b = rounded(one).cache(), rounded(two).cache()
+    return a.count() == b.count() > 0 and a.exceptAll(b).isEmpty()
+
+
+@pytest.mark.parametrize("name", sorted(TASKS))
+def test_rows_of_whole_graphs_equal_those_of_joins(spark, small, name):
+    task = TASKS[name]
+    g = (sg.session_graphs if task.directed else sg.minfill_graphs)(spark, small)
+    some = lambda df: df.filter(F.pmod("graph_id", F.lit(10 if task.directed else 4)) < 2)
+    g = sg.Graphs(some(g.nodes), some(g.edges), g.directed)
+    (one, channels), (two, same) = task_rows(task, g), task_rows(task, g, whole_graph=0)
+    assert channels == same and same_rows(one, two, channels)
+    # one shuffle of nodes and edges, and none of pairs
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.replace("BroadcastHashJoin", "")
+
+
+@pytest.mark.parametrize("build", [wl.minimum_fill, wl.connectivity])
+def test_rows_of_workloads_on_whole_graphs(spark, small, build, monkeypatch):
+    one, channels = build(spark, small)
+    monkeypatch.setattr(wl, "are_small", lambda g: False)
+    two, same = build(spark, small)
+    assert channels == same and same_rows(one, two, channels)
+
+
+def test_filtered_sample_equals_the_numbered_one(spark):
+    pairs = spark.range(5000).selectExpr("id", "if(id % 7 = 0, 1, 0) as y")
+    for cap, ratio in ((300, 2.0), (10**6, 2.0), (900, None), (10**6, 5.0), (4, 1.0)):
+        want = {r.id for r in mk.capped_sample(pairs, "y", ["id"], cap, ratio).collect()}
+        assert {r.id for r in pairs.filter(mk.capped_filter(pairs, "y", ["id"], cap, ratio)).collect()} == want
+    none = pairs.filter("y = 0")
+    assert none.filter(mk.capped_filter(none, "y", ["id"], 50, 2.0)).count() == 50
