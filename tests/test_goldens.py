@@ -9,6 +9,7 @@ import time
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from edgewright.operators import labels as lb
 from edgewright.operators import masks as mk
@@ -227,3 +228,19 @@ def test_graphs_stay_whole_across_batches(spark):
         assert {r.graph_id for r in nf.algebraic_connectivity(Graphs(nodes, e, True)).collect()} == set(got)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_hubs_are_listed_from_their_partners(spark):
+    # 3,000 pairs of a hub with leaves: from the hub's side 9,000,000 nodes between would be listed
+    e = spark.range(3000).selectExpr("0L as graph_id", "0L as src", "id + 1 as dst").unionByName(spark.range(3000).selectExpr("0L as graph_id", "id + 1 as src", "if(id % 2 = 0, id + 2, 0) as dst"))
+    g = Graphs(e.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct(), e.distinct(), True)
+    listed = pf.on_demand(spark.range(3000).selectExpr("0L as graph_id", "0L as i", "id + 1 as j"), g)
+    assert listed.agg(F.sum("cn")).first()[0] == 1500
+    joined = []
+    whole = DataFrame.join
+    try:
+        DataFrame.join = lambda self, other, *a, **k: joined.append(out := whole(self, other, *a, **k)) or out
+        pf.on_demand(spark.range(3000).selectExpr("0L as graph_id", "0L as i", "id + 1 as j"), g)
+    finally:
+        DataFrame.join = whole
+    assert max(x.count() for x in joined[:6]) < 10_000
