@@ -1,12 +1,13 @@
 """Words within a few edits of each other, by segmented code blocks.
 
-The characters are parted into ``N_GROUPS`` letter groups by a hash of the character, so
-every script spreads over all of them. Inserting or deleting a character changes the
-letters of one group, replacing one those of two at most, so of six groups at least two
-are untouched by two edits. The code of a word is, for each two groups, the hash of
-their letters in order; words that share a code, and whose bit fingerprints (parity of
-each character) differ in at most two bits per edit, are verified by their edit distance.
-In short words most groups are empty and tell nothing: words of up to ``SHORT`` characters are
+A word is cut into ``N_SEGMENTS`` segments of nearly equal length. Two edits touch two
+segments at most, so at least two of four stand unchanged in the other word, moved by the
+insertions and deletions before them. The code of a word is, for each two segments, the hash
+of both and of the word's length; the other side is asked for the pieces of each length and
+move that two edits allow. Half of the letters must agree in place, so that codes stay as rare as
+words are. Words that share a code, and whose bit fingerprints (parity of each character)
+differ in at most two bits per edit, are verified by their edit distance.
+Segments of short words tell little: words of up to ``SHORT`` characters are
 coded by what is left of them after up to two deletions instead, for two words
 within two edits have such a rest in common.
 """
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 
 from edgewright.plans.skew import skew_join
 
-N_GROUPS = 6
+N_SEGMENTS = 4
 MAX_EDITS = 2
-#: Words of up to SHORT characters meet by deletions; those of more than SHORT - MAX_EDITS also have group codes.
+#: Words of up to SHORT characters meet by deletions; those of more than SHORT - MAX_EDITS also have segment codes.
 SHORT = 8
-_PAIRS = list(combinations(range(N_GROUPS), N_GROUPS - 2 * MAX_EDITS))
+_PAIRS = list(combinations(range(N_SEGMENTS), N_SEGMENTS - MAX_EDITS))
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -37,59 +38,96 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(n: int) -> np.ndarray:
+#: An odd base and its inverse, so that a piece has one hash wherever it stands.
+_BASE = 0x100000001B3
+_BACK = pow(_BASE, -1, 2**64)
+
+
+def _powers(n: int, base: int = _BASE) -> np.ndarray:
     out = np.ones(max(n, 1), np.uint64)
-    out[1:] = np.uint64(0x100000001B3)
+    out[1:] = np.uint64(base)
     return np.multiply.accumulate(out)
 
 
-def code_words(words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(bit fingerprint, codes) of each word."""
+def _moves() -> list[tuple[int, int, int, int]]:
+    """(own length - asked length, number of two segments, move of the first, move of the second) that ``MAX_EDITS`` edits allow.
+
+    An insertion counts to the segment of the character behind it, or to the last one at the end: so what
+    stands before the first unchanged segment, between both and behind the second gives the moves, and
+    nothing moves where no segment is left for the edits.
+    """
+    span = range(-MAX_EDITS, MAX_EDITS + 1)
+    return [
+        (more, k, s, t)
+        for more in span
+        for k, (i, j) in enumerate(_PAIRS)
+        for s in span
+        for t in span
+        if abs(s) + abs(t - s) + abs(more - t) <= MAX_EDITS and (i > 0 or s == 0) and (j > i + 1 or s == t) and (j < N_SEGMENTS - 1 or t == more)
+    ]
+
+
+_MOVES = _moves()
+
+
+def _segment_codes(letters: np.ndarray, asked: bool) -> np.ndarray:
+    """Codes of words of one length (a row of hashed letters each): their own, or those of the words they ask for."""
+    n = letters.shape[1]
+    sums = np.zeros((len(letters), n + 1), np.uint64)
+    np.cumsum(letters * _powers(n), axis=1, out=sums[:, 1:])
+    back = _powers(n + 1, _BACK)
+    pieces: dict[tuple[int, int], np.ndarray] = {}
+
+    def piece(at: int, end: int) -> np.ndarray:
+        if (at, end) not in pieces:
+            pieces[at, end] = _mixed((sums[:, end] - sums[:, at]) * back[at])
+        return pieces[at, end]
+
+    out = []
+    for more, k, s, t in _MOVES if asked else [(0, k, 0, 0) for k in range(len(_PAIRS))]:
+        of = n - more
+        (a, b), (c, d) = ((x * of // N_SEGMENTS, (x + 1) * of // N_SEGMENTS) for x in _PAIRS[k])
+        if of > SHORT - MAX_EDITS and min(a + s, c + t) >= 0 and max(b + s, d + t) <= n:
+            out.append(_mixed(_mixed(piece(a + s, b + s) + np.uint64(len(_PAIRS) * of + k)) ^ piece(c + t, d + t)))
+    return np.stack(out, axis=1) if out else np.empty((len(letters), 0), np.uint64)
+
+
+def code_words(words: list[str], asked: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bit fingerprint of each word, codes, the word of each code); two words within the edits share one of the one's ``asked`` codes and the other's own."""
     sizes = np.array([len(w) for w in words], np.int64)
-    text = "".join(words)
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), sizes)
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     mixed = _mixed(points)
     bits = np.zeros(len(words), np.uint64)
-    np.bitwise_xor.at(bits, owner, np.uint64(1) << (mixed >> np.uint64(58)))
-    slot = owner * N_GROUPS + (mixed % np.uint64(N_GROUPS)).astype(np.int64)
-    order = np.argsort(slot, kind="stable")
-    slot, letter = slot[order], mixed[order]
-    start = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1]) if len(slot) else np.empty(0, np.int64)
-    rank = np.arange(len(slot)) - np.repeat(start, np.diff([*start, len(slot)]))
-    held = np.zeros(len(words) * N_GROUPS, np.uint64)
-    if len(slot):
-        held[slot[start]] = np.add.reduceat(letter * _powers(int(rank.max()) + 1)[rank], start)
-    held = held.reshape(len(words), N_GROUPS)
-    grouped = np.stack([_mixed(_mixed(held[:, a] + np.uint64(k + 1)) ^ held[:, b]) for k, (a, b) in enumerate(_PAIRS)], axis=1)
-    powers, codes, first = _powers(SHORT), [], np.cumsum(sizes) - sizes
-    for k, n in enumerate(sizes):
-        own = [grouped[k]] if n > SHORT - MAX_EDITS else []
+    np.bitwise_xor.at(bits, np.repeat(np.arange(len(words)), sizes), np.uint64(1) << (mixed >> np.uint64(58)))
+    first, powers = np.cumsum(sizes) - sizes, _powers(SHORT)
+    codes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        letters = mixed[first[rows][:, None] + np.arange(n)]
+        own = [_segment_codes(letters, asked)] if n > SHORT - MAX_EDITS else []
         if n <= SHORT:
-            letters = mixed[first[k] : first[k] + n]
             for gone in range(min(MAX_EDITS, n) + 1):
                 kept = list(combinations(range(n), n - gone))
                 keep = np.array(kept, np.int64).reshape(len(kept), n - gone)
-                own.append(np.unique((letters[keep] * powers[: n - gone]).sum(axis=1, dtype=np.uint64) + np.uint64(0xA5A5 + n - gone)))
-        codes.append(np.concatenate(own))
-    return bits, codes
+                own.append((letters[:, keep] * powers[: n - gone]).sum(axis=2, dtype=np.uint64) + np.uint64(0xA5A5 + n - gone))
+        held = np.concatenate(own, axis=1)
+        codes.append(held.ravel())
+        owners.append(np.repeat(rows, held.shape[1]))
+    return bits, np.concatenate(codes), np.concatenate(owners)
 
 
-def coded_words(words: DataFrame, *keep: str) -> DataFrame:
-    """``code``, ``word``, ``bits`` and ``keep``: one row per word and code; null words have none."""
-    types = "".join(f", {k} {words.schema[k].dataType.simpleString()}" for k in keep)
+def coded_words(words: DataFrame, asked: bool = False) -> DataFrame:
+    """``code``, ``word``, ``bits``: one row per word and code; null words have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                bits, codes = code_words(batch.column(0).to_pylist())
-                row = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in codes]))
-                code = pa.array(np.concatenate(codes).view(np.int64))
-                arrays = [code, batch.column(0).take(row), pa.array(bits.view(np.int64)).take(row), *[batch.column(k).take(row) for k in keep]]
-                yield pa.RecordBatch.from_arrays(arrays, names=["code", "word", "bits", *keep])
+                word = whole.column(0).slice(at, 2000)
+                bits, codes, owner = code_words(word.to_pylist(), asked)
+                row = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), word.take(row), pa.array(bits.view(np.int64)).take(row)], names=["code", "word", "bits"])
 
-    return words.filter("word is not null").select("word", *keep).mapInArrow(run, f"code bigint, word string, bits bigint{types}")
+    return words.filter("word is not null").select("word").mapInArrow(run, "code bigint, word string, bits bigint")
 
 
 def near_words(words: DataFrame, left: str, right: str, max_edits: int = MAX_EDITS) -> DataFrame:
@@ -101,9 +139,8 @@ def near_words(words: DataFrame, left: str, right: str, max_edits: int = MAX_EDI
     """
     if not 1 <= max_edits <= MAX_EDITS:
         raise ValueError(f"max_edits must be 1..{MAX_EDITS}")
-    coded = coded_words(words, left, right)
-    a = coded.filter(F.col(left)).select("code", "word", F.col("bits").alias("bits_a"))
-    b = coded.filter(F.col(right)).select("code", F.col("word").alias("other"), F.col("bits").alias("bits_b"))
+    a = coded_words(words.filter(left), asked=True).select("code", "word", F.col("bits").alias("bits_a"))
+    b = coded_words(words.filter(right)).select("code", F.col("word").alias("other"), F.col("bits").alias("bits_b"))
     close = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 2 * max_edits
     near = F.abs(F.length("word") - F.length("other")) <= max_edits
     met = skew_join(b, a, ["code"]).filter((F.col("word") != F.col("other")) & near & close)

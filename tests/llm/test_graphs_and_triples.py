@@ -17,7 +17,7 @@ from edgewright.llm.history import AcceptedGraphs, batch_duplicates
 from edgewright.llm.merkle import Items, Leaf, Ordered, Unordered, collapse_triples, copies, rooted, same_records
 from edgewright.llm.sorted_runs import SortedRuns
 from edgewright.llm.terms import term_counts, triple_terms
-from edgewright.llm.word_codes import near_words
+from edgewright.llm.word_codes import code_words, near_words
 
 GRAPH = "graph_id bigint, edges array<array<int>>, split string, source string, batch_no int, pairs string, class_id string, in_train string"
 TRIPLE = "triple_id bigint, r string, h string, t string, split string, source string, rel string, head string, root string, in_train string"
@@ -178,6 +178,23 @@ def test_near_words(spark):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_word_codes_lose_nothing_and_stay_rare():
+    rng = random.Random(5)
+
+    def edited(w):
+        at, kind = rng.randrange(len(w) + 1), rng.randrange(3)
+        return w[:at] + ("" if kind == 0 else rng.choice("abè")) + w[at + (kind < 2) :]
+
+    words = ["".join(rng.choices("abè", k=rng.randint(0, 20))) for _ in range(4000)]
+    _, asked, owner = code_words(words, asked=True)
+    _, own, other = code_words([edited(edited(w)) for w in words])
+    assert {k for k, _ in set(zip(owner.tolist(), asked.tolist())) & set(zip(other.tolist(), own.tolist()))} == set(range(4000))
+    # few of all pairs of unlike words meet
+    words = ["".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(6)) for _ in range(2000)]
+    asked, own = (Counter(code_words(words, asked=x)[1].tolist()) for x in (True, False))
+    assert sum(n * own[code] for code, n in asked.items()) < 0.02 * len(words) ** 2
+
+
 @pytest.fixture(scope="module")
 def triple_rows():
     rng = random.Random(8)
