@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgewright.functions.order import hash_order
 from edgewright.plans.numbering import number_rows
+from edgewright.plans.scratch import stash
 
 KEY = ["h", "r", "t"]
 
@@ -63,15 +64,29 @@ def corrupted(triples: DataFrame, tries: int = 5, per_triple: int = 1, seed: int
     sound = triples.filter("h is not null and r is not null and t is not null")
     names = entity_codes(sound).select("entity", "code")
     n = names.count()
-    draws = sound.select("triple_id", *KEY, F.explode(F.sequence(F.lit(1), F.lit(tries * per_triple))).alias("draw"))
-    digits = hash_order(seed, "triple_id", "draw")
-    pick = F.pmod(F.conv(F.substring(digits, 1, 12), 16, 10).cast("bigint"), F.lit(max(1, n))).alias("code")
-    head = (F.conv(F.substring(digits, 13, 1), 16, 10).cast("int") % 2 == 0).alias("head")
-    placed = draws.select("*", pick, head).join(names, "code")
-    changed = placed.select("triple_id", "draw", F.when(F.col("head"), F.col("entity")).otherwise(F.col("h")).alias("h"), "r", F.when(F.col("head"), F.col("t")).otherwise(F.col("entity")).alias("t"))
-    fresh = changed.join(sound.select(*KEY), KEY, "left_anti")
-    ranked = fresh.withColumn("k", F.row_number().over(Window.partitionBy("triple_id").orderBy("draw")))
-    return ranked.filter(F.col("k") <= per_triple).select("triple_id", F.col("k").cast("int").alias("draw"), *KEY)
+    last = tries * per_triple
+
+    def placed(rows: DataFrame, first: int, last: int) -> DataFrame:
+        draws = rows.select("triple_id", *KEY, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("draw"))
+        digits = hash_order(seed, "triple_id", "draw")
+        pick = F.pmod(F.conv(F.substring(digits, 1, 12), 16, 10).cast("bigint"), F.lit(max(1, n))).alias("code")
+        head = (F.conv(F.substring(digits, 13, 1), 16, 10).cast("int") % 2 == 0).alias("head")
+        named = draws.select("*", pick, head).join(names, "code")
+        return named.select("triple_id", "draw", F.when(F.col("head"), F.col("entity")).otherwise(F.col("h")).alias("h"), "r", F.when(F.col("head"), F.col("t")).otherwise(F.col("entity")).alias("t"))
+
+    # nearly all triples are done with their first draws; only those with a hit among them draw on
+    observed = sound.select(*KEY).distinct().withColumn("hit", F.lit(True))
+    firsts = stash(placed(sound, 1, min(per_triple, last)).join(observed, KEY, "left"), "draws")
+    short = stash(firsts.filter("hit").select("triple_id").distinct(), "short")
+    kept = firsts.filter("hit is null").select("triple_id", "draw", *KEY)
+    if last <= per_triple or short.isEmpty():
+        more = kept.limit(0)
+    else:
+        more = placed(sound.join(short, "triple_id", "left_semi"), per_triple + 1, last).join(observed, KEY, "left_anti").select("triple_id", "draw", *KEY)
+    mixed = kept.join(short, "triple_id", "left_semi").unionByName(more)
+    ranked = mixed.withColumn("k", F.row_number().over(Window.partitionBy("triple_id").orderBy("draw"))).filter(F.col("k") <= per_triple)
+    done = kept.join(short, "triple_id", "left_anti").withColumn("k", F.col("draw"))
+    return done.unionByName(ranked).select("triple_id", F.col("k").cast("int").alias("draw"), *KEY)
 
 
 def sampled_incident(triples: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -92,20 +107,40 @@ def sampled_incident(triples: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return ranked.filter(F.col("k") <= k).select("triple_id", "entity", "other_id")
 
 
+def _with_means(triples: DataFrame, vector: str) -> DataFrame:
+    """``triples`` whose h, r and t are known, plus ``m_h``, ``n_h``, ``m_t``, ``n_t``: mean vector and number of the other triples at either end.
+
+    A vector goes through each shuffle as one row, not as a row per position; vectors are of one length.
+    """
+    triples = triples.filter(F.size(vector) > 0)
+    least, width = triples.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if least != width:
+        raise ValueError(f"vectors of {least} to {width} positions")
+    total = lambda over=None: [F.sum(F.col(vector)[k]) if over is None else F.sum(F.col(vector)[k]).over(over) for k in range(width or 0)]
+    ends = triples.select(F.explode(F.array("h", "t")).alias("entity"), vector).filter("entity is not null")
+    sums = ends.groupBy("entity").agg(F.array(*total()).alias("s"), F.count("*").alias("n"))
+    same = Window.partitionBy(*KEY)
+    known = triples.filter("h is not null and r is not null and t is not null").withColumn("__m", F.count("*").over(same))
+    # without copies a triple's own share is its vector
+    out = known.withColumn("__own", F.when(F.col("__m") > 1, F.array(*total(same))))
+    times = F.when(F.col("h") == F.col("t"), 2).otherwise(1)
+    for end in ("h", "t"):
+        out = out.join(sums.withColumnRenamed("entity", end), end)
+        left = F.col("n") - F.col("__m") * times
+        own = F.coalesce("__own", vector)
+        mean = F.zip_with("s", own, lambda s, x: F.when(left > 0, (s - x * times) / F.nullif(left, F.lit(0))).otherwise(0.0))
+        out = out.select(*[c for c in out.columns if c not in ("s", "n")], mean.alias(f"m_{end}"), left.alias(f"n_{end}"))
+    return out.drop("__m", "__own")
+
+
 def context_means(triples: DataFrame, vector: str = "vec") -> DataFrame:
     """``triple_id``, ``end`` (h or t), ``n``, ``mean``: mean vector of the other triples at an end of each triple.
 
     Every copy of the triple itself is taken out again by its number; no other triple: zeros.
     """
-    ends = triples.select(F.explode(F.array(F.struct(F.lit("h").alias("end"), F.col("h").alias("entity")), F.struct(F.lit("t").alias("end"), F.col("t").alias("entity")))).alias("e"), "triple_id", *KEY, vector).select("e.*", "triple_id", *KEY, vector)
-    ends = ends.filter("entity is not null")
-    sums = ends.select("entity", F.posexplode(vector).alias("p", "x")).groupBy("entity", "p").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
-    same = ends.select("entity", *KEY, F.posexplode(vector).alias("p", "x")).groupBy("entity", *KEY, "p").agg(F.sum("x").alias("own"), F.count("*").alias("m"))
-    cells = ends.select("triple_id", "end", "entity", *KEY, F.posexplode(vector).alias("p", "x"))
-    keyed = cells.join(sums, ["entity", "p"]).join(same, ["entity", *KEY, "p"])
-    value = F.when(F.col("n") > F.col("m"), (F.col("s") - F.col("own")) / F.nullif(F.col("n") - F.col("m"), F.lit(0))).otherwise(0.0)
-    listed = keyed.groupBy("triple_id", "end").agg(F.max(F.col("n") - F.col("m")).alias("n"), F.sort_array(F.collect_list(F.struct("p", value.alias("v")))).alias("vs"))
-    return listed.select("triple_id", "end", "n", F.transform("vs", lambda x: x["v"]).alias("mean"))
+    both = _with_means(triples.select("triple_id", *KEY, vector), vector)
+    ends = F.array(*[F.struct(F.lit(x).alias("end"), F.col(f"n_{x}").alias("n"), F.col(f"m_{x}").alias("mean")) for x in "ht"])
+    return both.select("triple_id", F.explode(ends).alias("x")).select("triple_id", "x.*")
 
 
 def triple_tiles(triples: DataFrame, k: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -135,16 +170,18 @@ def context_features(triples: DataFrame, vector: str = "vec") -> DataFrame:
 
     Zero vectors give a cosine of 0.
     """
+    return with_context(triples.select("triple_id", *KEY, vector), vector).select("triple_id", "features")
+
+
+def with_context(triples: DataFrame, vector: str = "vec") -> DataFrame:
+    """``triples`` without h, r and t, plus the ``features`` of ``context_features``."""
     from edgewright.operators.pair_features import cosine, norm
 
-    means = context_means(triples, vector)
-    both = triples.select("triple_id", F.col(vector).alias("v"))
-    for end in ("h", "t"):
-        both = both.join(means.filter(F.col("end") == end).select("triple_id", F.col("mean").alias(f"m_{end}"), F.col("n").alias(f"n_{end}")), "triple_id")
+    both = _with_means(triples, vector)
     gap = lambda a, b: norm(F.zip_with(a, b, lambda x, y: x - y)) / F.sqrt(F.size(a).cast("double"))
     parts = []
     for end in ("h", "t"):
         m = F.col(f"m_{end}")
-        parts += [cosine(F.col("v"), m), gap(F.col("v"), m), F.log1p(F.col(f"n_{end}").cast("double"))]
+        parts += [cosine(F.col(vector), m), gap(F.col(vector), m), F.log1p(F.col(f"n_{end}").cast("double"))]
     parts += [cosine(F.col("m_h"), F.col("m_t")), gap(F.col("m_h"), F.col("m_t"))]
-    return both.select("triple_id", F.array(*parts).alias("features"))
+    return both.select(*[c for c in triples.columns if c not in KEY], F.array(*parts).alias("features"))

@@ -137,6 +137,23 @@ def test_corrupted_triples_were_never_seen(spark, small):
     assert out.groupBy("triple_id").count().filter("count > 2").count() == 0
 
 
+def test_context_means_keep_vectors_whole(spark):
+    rows = [(1, "a", "r", "b"), (2, "a", "r", "b"), (3, "a", "r", "a"), (4, "c", "q", "a"), (5, None, "r", "a"), (6, "z", "r", "y")]
+    triples = spark.createDataFrame([(*r, [float(r[0]), 1.0]) for r in rows], "triple_id bigint, h string, r string, t string, vec array<double>")
+    out = tr.context_means(triples)
+    # no row per position of a vector goes through the joins
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    expected = {}
+    for k, *key in rows:
+        for end, entity in (("h", key[0]), ("t", key[2])):
+            others = [float(x[0]) for x in rows for e in (x[1], x[3]) if e == entity and list(x[1:]) != key]
+            if None not in key:
+                expected[k, end] = (len(others), [sum(others) / len(others), 1.0] if others else [0.0, 0.0])
+    assert {(r.triple_id, r.end): (r.n, r.mean) for r in out.collect()} == expected
+    with pytest.raises(ValueError):
+        tr.context_means(triples.withColumn("vec", F.slice("vec", 1, (F.col("triple_id") % 2 + 1).cast("int"))))
+
+
 def test_sampled_incident_leaves_out_copies(spark):
     rows = [(1, "a", "r", "b"), (2, "a", "r", "b"), (3, "a", "r", "c"), (4, "d", "r", "a"), (5, None, "r", "b"), (6, "a", "r", "a")]
     triples = spark.createDataFrame(rows, "triple_id bigint, h string, r string, t string")
