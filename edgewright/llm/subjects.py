@@ -16,7 +16,6 @@ model and drops no term.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -194,9 +193,8 @@ def _fit(documents: DataFrame, labels: DataFrame, params: SubjectParams) -> tupl
     languages, known, spoken = _term_languages(docs)
     docs = stash(_with_language(docs, languages, known, spoken), "told")
     present = {r["tongue"] for r in docs.select("tongue").distinct().collect()}
-    # the trees are small jobs one after the other: those of several languages run side by side
-    with ThreadPoolExecutor(4) as side_by_side:
-        trees = list(side_by_side.map(lambda no: _tree(docs.filter(F.col("tongue") == no), params) if no in present else None, range(len(languages))))
+    # one after the other: the driver gathers the sums and sends the centres of all clusters in each round, and holds those of one tree at a time
+    trees = [_tree(docs.filter(F.col("tongue") == no), params) if no in present else None for no in range(len(languages))]
     placed = stash(_placed(docs, trees, params), "placed")
     # labels: a few rows by language and subject, leaf and subject, and by term and subject
     told = stash(placed.select("doc_id", "tongue", "leaf", "buckets", F.size("ends").alias("n")).join(shares, "doc_id"), "fitted")

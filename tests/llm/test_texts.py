@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -218,3 +219,22 @@ def test_every_labelled_document_counts(spark):
     finally:
         subjects_module._term_rows = term_rows
     assert told == [{1: 43_990, 2: 10}]
+
+
+def test_trees_are_grown_one_at_a_time(spark, monkeypatch):
+    # the driver holds sums and centres of all clusters of a tree while it grows
+    going, most, grown = [], [], []
+
+    def tree(docs, params):
+        going.append(1)
+        most.append(len(going))
+        time.sleep(0.3)
+        going.pop()
+        grown.append(1)
+
+    monkeypatch.setattr(subjects_module, "_tree", tree)
+    texts = [("en", "The old river bends here. It never runs dry."), ("de", "Der alte Fluss biegt hier ab. Er trocknet niemals aus.")]
+    docs = spark.createDataFrame([(k, *texts[k]) for k in range(2)], "doc_id bigint, lang string, text string")
+    labels = spark.createDataFrame([(0, 1, "x")], "doc_id bigint, subject_id int, annotator string")
+    subjects_module.fit_subjects(docs, labels)
+    assert len(grown) == 2 and max(most) == 1
