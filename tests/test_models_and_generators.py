@@ -20,6 +20,7 @@ from edgewright.operators import triples as tr
 from edgewright.plans.cache import kept, load_features, save_features
 from edgewright.plans.models import Bundle, RunConfig, duration_text, load_checkpoint, model_names, run_task, save_checkpoint, summary
 from edgewright.plans.numbering import running_sums
+from edgewright.plans.scratch import stash
 from edgewright.plans import workloads as wl
 from edgewright.plans.tasks import TASKS, task_rows
 from edgewright.sources import graphs as sg
@@ -191,6 +192,38 @@ def test_every_pair_has_its_tile(spark, small):
     assert tiles.select("i", "j").distinct().count() == sg.friend_graph(spark, small).edges.count()
 
 
+@pytest.mark.parametrize("directed", [True, False])
+@pytest.mark.parametrize(("budget", "quota"), [(384, 16), (9, 3), (1, 4)])
+def test_tiles_made_in_tasks_equal_those_of_joins(spark, directed, budget, quota):
+    rng = random.Random(quota)
+    rows = [(g, rng.randrange(-5, 20) * 10**9, rng.randrange(-5, 20) * 10**9) for g in (5, -2, 10**12) for _ in range(60)]
+    e = spark.createDataFrame(rows, "graph_id bigint, src bigint, dst bigint")
+    e = e if directed else sg.doubled(e).distinct()
+    g = sg.Graphs(e.select("graph_id", F.col("src").alias("node")).distinct(), e, directed)
+    # ends that no edge has, a graph without edges, equal ends and nulls
+    asked = [(k, rng.randrange(-6, 22) * 10**9, rng.randrange(-6, 22) * 10**9) for k in (5, -2, 10**12, 77) for _ in range(20)]
+    pairs = spark.createDataFrame([*asked, (5, 0, 0), (None, 0, 10**9), (5, None, 0), (5, 0, None), (-2, 3, 4)], "graph_id bigint, i bigint, j bigint")
+    got, want = (Counter(lb.ego_tiles(g, pairs, budget, quota, cells).collect()) for cells in (lb.HELD_CELLS, 0))
+    assert got == want and sum(got.values()) >= 2 * len(set(asked))
+
+
+def test_no_row_of_a_tile_is_shuffled_or_written(spark, small, monkeypatch):
+    written = []
+
+    def noted(df, name="table"):
+        out = stash(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(lb, "stash", noted)
+    tiles = QUERIES["ego_tiles"](spark, small)
+    edges = sg.friend_graph(spark, small).edges.count()
+    assert sum(written) <= 2 * edges
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("MapInArrow") < plan.index("Exchange")
+    assert tiles.count() > 10 * edges
+
+
 def test_all_non_edges_are_candidates(spark, small):
     free = {r[0]: r[1] for r in mk.candidate_non_edges(sg.minfill_graphs(spark, small), 1000).groupBy("graph_id").count().collect()}
     got = QUERIES["lambda2_gains"](spark, small).groupBy("graph_id").agg(F.count("*").alias("n"), F.sum("y").alias("top")).collect()
