@@ -288,6 +288,31 @@ def test_rows_of_whole_graphs_equal_those_of_joins(spark, small, name):
     assert "Join" not in plan.replace("BroadcastHashJoin", "")
 
 
+def test_bridges_are_made_where_the_graph_is(spark, small, monkeypatch):
+    own = [(g, n) for g in (-3, 5, 70) for n in range(-1, 31 + g % 2)]
+    path = [(g, n, n + 1) for g, n in own if n not in (2, 9, 14, 15, 30) and n < 24]
+    nodes = spark.createDataFrame([*own, (None, 1), (None, 2)], "graph_id bigint, node bigint")
+    edges = sg.doubled(spark.createDataFrame(path, "graph_id bigint, src bigint, dst bigint"))
+    for seed in (0, 7):
+        want = {tuple(r) for r in lb.stitch(sg.Graphs(nodes, edges, False), seed).collect()}
+        got = set()
+        for g in {g for g, _ in own}:
+            ids = np.array([n for k, n in own if k == g])
+            src, dst = (np.searchsorted(ids, [p[end] for k, *p in path if k == g]) for end in (0, 1))
+            src, dst = np.concatenate([src, dst]), np.concatenate([dst, src])
+            got |= {(g, int(ids[i]), int(ids[j])) for part in ((src, dst), lb.bridges(g, ids, src, dst, seed)) for i, j in zip(*part)}
+        assert got == want and len(want) > 2 * len(path)
+    assert not len(lb.bridges(None, np.arange(2), np.zeros(0, int), np.zeros(0, int))[0])
+
+    def fail(*_):
+        raise AssertionError("joined")
+
+    monkeypatch.setattr("edgewright.plans.tasks.connected", fail)
+    rows, _ = task_rows(TASKS["spanning-tree"], sg.Graphs(nodes.filter("graph_id is not null"), edges, False))
+    # a tree over all of each graph's nodes is positive
+    assert {r.graph_id: r.t for r in rows.groupBy("graph_id").agg(F.sum("y").alias("t")).collect()} == {g: sum(k == g for k, _ in own) - 1 for g in (-3, 5, 70)}
+
+
 @pytest.mark.parametrize("build", [wl.minimum_fill, wl.connectivity])
 def test_rows_of_workloads_on_whole_graphs(spark, small, build, monkeypatch):
     one, channels = build(spark, small)
