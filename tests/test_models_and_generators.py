@@ -252,6 +252,49 @@ def test_greedy_augmentation_adds_the_best_gains(spark, small):
         assert r.lambda2_after == pytest.approx(want[r.graph_id].lambda2_after, abs=1e-9) and r.gain_percent == pytest.approx(want[r.graph_id].gain_percent, abs=1e-4)
 
 
+def tree_graph(spark, n):
+    """A graph in which node v hangs on node v // 2."""
+    nodes = spark.range(n).selectExpr("1L as graph_id", "id as node")
+    edges = sg.doubled(spark.range(1, n).selectExpr("1L as graph_id", "id div 2 as src", "id as dst"))
+    a = np.zeros((n, n))
+    a[np.arange(1, n), np.arange(1, n) // 2] = a[np.arange(1, n) // 2, np.arange(1, n)] = 1
+    return sg.Graphs(nodes, edges, False), a
+
+
+def gains_of_all(a):
+    """Pairs and gains by falling gain, eigenvalues of every whole matrix."""
+    pairs = np.argwhere(np.triu(1 - a, 1))
+    gains = np.round(lb._connectivities(a, pairs[:, None].tolist()) - lb._gain(a, []), 9)
+    order = np.argsort(-gains, kind="stable")
+    return pairs[order], gains[order]
+
+
+def test_greedy_augmentation_looks_at_every_non_edge(spark):
+    g, a = tree_graph(spark, 60)
+    pairs, _ = gains_of_all(a)
+    assert len(pairs) == 1711
+    want = lb._gain(a, pairs[:5].tolist())
+    assert lb.greedy_augmentation(g, 5).first().lambda2_after == pytest.approx(want, abs=1e-9)
+    # a thousand of them lack the best
+    drawn = lb._gains(a, lb._free_pairs(a, 1000, 0), 5)[1]
+    assert lb._gain(a, drawn.tolist()) < want - 1e-3
+
+
+def test_gains_in_blocks_are_those_at_once():
+    rng = np.random.default_rng(2)
+    ring = np.roll(np.eye(24), 1, axis=0)
+    random = np.triu(rng.random((40, 40)) < 0.08, 1).astype(float)
+    parts = np.kron(np.eye(3), 1 - np.eye(6))
+    for a in (ring + ring.T, random + random.T, parts, np.kron(np.eye(2), 1 - np.eye(9)), np.zeros((7, 7)), np.zeros((2, 2))):
+        pairs, gains = gains_of_all(a)
+        for cells in (1, 300, 10**6):
+            base, own, values = lb._gains(a, lb.free_pairs(a), None, cells)
+            assert base == pytest.approx(lb._gain(a, []), abs=1e-9) and np.allclose(values, gains, atol=2e-9) and len(own) == len(pairs)
+            _, best, top = lb._gains(a, lb.free_pairs(a), 5, cells)
+            assert np.allclose(top, gains[:5], atol=2e-9) and (best == own[:5]).all()
+    assert lb._gains(np.zeros((1, 1)), lb.free_pairs(np.zeros((1, 1))), 5)[2] == []
+
+
 def test_bounds_leave_the_best_augmentation():
     rng = np.random.default_rng(6)
     for n, p in ((8, 0.1), (12, 0.3), (14, 0.2), (23, 0.1)):
