@@ -280,6 +280,18 @@ def test_greedy_augmentation_looks_at_every_non_edge(spark):
     assert lb._gain(a, drawn.tolist()) < want - 1e-3
 
 
+def test_connectivity_has_every_non_edge(spark, small, monkeypatch):
+    g, a = tree_graph(spark, 60)
+    pairs, _ = gains_of_all(a)
+    monkeypatch.setattr(wl, "minfill_graphs", lambda *_: g)
+    monkeypatch.setattr(wl, "table", lambda *_: spark.createDataFrame([(1, "er")], "graph_id bigint, source string"))
+    for whole in (True, False):
+        monkeypatch.setattr(wl, "are_small", lambda _, whole=whole: whole)
+        rows = {(r.i, r.j): r.y for r in wl.connectivity(spark, small)[0].select("i", "j", "y").collect()}
+        assert set(rows) == set(map(tuple, pairs.tolist())) and len(rows) == 1711
+        assert {p for p, y in rows.items() if y} == set(map(tuple, pairs[:20].tolist()))
+
+
 def test_gains_in_blocks_are_those_at_once():
     rng = np.random.default_rng(2)
     ring = np.roll(np.eye(24), 1, axis=0)
